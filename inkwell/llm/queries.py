@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing
+from . import chat, exact, mixing, packing, token_files
+from .staging import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", (F.col("taken") * F.col("size")).alias("taken"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of all documents hold, read back from them."""
+    path = fresh_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
+    return token_files.index_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays for each document."""
     return exact.label_copies(_table(spark, sf_dir, "documents"))
@@ -46,7 +59,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op5_exact_dedup": op5_exact_dedup, "op9_chat_format": op9_chat_format}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_packing": op2_packing,
+        "op3_token_files": op3_token_files,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op9_chat_format": op9_chat_format,
+    }
 
 
 OP1_SQL = r"""
