@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, token_files
+from . import chat, exact, mixing, packing, simhash, substrings, token_files
 from .staging import fresh_path
 
 
@@ -33,11 +33,22 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.index_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated windows of 20 words."""
+    kept = substrings.drop_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays for each document."""
     return exact.label_copies(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the least document of its component."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the conversations as read back from the formatted text."""
     hard = "</s>[INST] ok [/INST]"
@@ -63,7 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
         "op3_token_files": op3_token_files,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_simhash": op7_simhash,
         "op9_chat_format": op9_chat_format,
     }
 
@@ -101,6 +114,22 @@ cut AS (
 SELECT doc_id, size, source_size, target, (coalesce(times, 0) * size)::BIGINT AS taken FROM queued LEFT JOIN cut USING (doc_id)
 """
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY said ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY 1),
+kept AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+    list_filter(words, lambda x, j: js IS NULL OR NOT list_contains(js, j)) AS rest
+  FROM w LEFT JOIN lists USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+
 OP5_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM (
   SELECT doc_id, coalesce(text, '') AS t, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -125,4 +154,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
