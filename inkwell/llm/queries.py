@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, simhash, substrings, token_files
+from . import chat, exact, mixing, packing, quality, simhash, substrings, token_files
 from .staging import fresh_path
 
 
@@ -44,6 +44,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.label_copies(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The co-trained quality scores of all documents."""
+    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_good", "p_content", "p_metadata", "kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the least document of its component."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op9_chat_format": op9_chat_format,
     }

@@ -179,3 +179,15 @@ def near_duplicates(
     return prints.join(labels, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its component.
+
+    Rows that repeat such an id all stay, if they have its fingerprint's
+    component; documents with a null id stay if no id of their component is
+    known.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
+    return docs.join(gone.distinct(), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
