@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, quality, simhash, substrings, token_files
+from . import chat, exact, licenses, licenses_sql, mixing, packing, quality, simhash, substrings, token_files
 from .staging import fresh_path
 
 
@@ -75,6 +75,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, laid out in directories by its columns."""
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", F.expr(licenses_sql.document_path()).alias("path"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op9_chat_format": op9_chat_format,
+        "op10_license_scan": op10_license_scan,
     }
 
 
@@ -161,4 +168,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_license_scan": licenses_sql.oracle()}
