@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, licenses_sql, mixing, packing, quality, simhash, substrings, token_files
+from . import chat, exact, licenses, licenses_sql, media, mixing, packing, pictures, quality, simhash, substrings, token_files
 from .staging import fresh_path
 
 
@@ -55,6 +55,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which images the edited copies of every twentieth image come from."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    asked = pictures.images(vectors.where("vec_id % 20 = 0"), edit=True)
+    return media.find_copies(asked, pictures.images(vectors))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the conversations as read back from the formatted text."""
     hard = "</s>[INST] ok [/INST]"
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
+        "op8_media_copies": op8_media_copies,
         "op9_chat_format": op9_chat_format,
         "op10_license_scan": op10_license_scan,
     }
