@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -66,10 +66,10 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path(vocabulary), end_id)
+        known = encoder(vocabulary_path(vocabulary), end_id)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode(batch.column(1).to_pylist()), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)
                 for start in range(0, n, size):
                     piece = view[4 * start : 4 * (start + size)]

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 _HEAD = struct.Struct("<QI")
 _DOC = struct.Struct("<q?B")
@@ -83,11 +83,11 @@ def write_token_files(
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path(vocabulary), end_id)
+        known = encoder(vocabulary_path(vocabulary), end_id)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
-                ids = encoder.encode(some.column(1).to_pylist())
+                ids = known.encode(some.column(1).to_pylist())
                 rows = [frame(d, x, width) for d, x in zip(some.column(0).to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
