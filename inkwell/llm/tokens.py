@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides the space and the line feed.
 _OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
@@ -33,67 +34,64 @@ _BLOCK = 1 << 23
 class Encoder:
     """Encodes texts to the little-endian 32-bit ids, an end id appended.
 
-    Chunks of up to ``longest`` characters are kept, and forgotten together once
-    there are more than ``cache`` of them; longer ones are encoded anew.
+    Chunks are kept, and forgotten together once there are more than ``cache``
+    of them or their text passes a bound.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = 1_000_000, longest: int = 64) -> None:
+    def __init__(self, path: str, end_id: int, cache: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = array("I", [end_id]).tobytes()
-        self.cache, self.longest = cache, longest
+        self.cache = cache
         self._forget()
         # A character of a byte-level token stands for a byte.
         sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], "i8")
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.first, self.size, self.filled = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), 0
-
-    def _keep(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Stores chunks whose ids lie one after the other, up to ``ends``."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.filled + len(ends) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        here, starts = slice(self.filled, self.filled + len(ends)), np.concatenate([[0], ends[:-1]])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.first[here], self.size[here] = starts + self.used, ends - starts
-        self.slots.update(zip(chunks, range(self.filled, self.filled + len(chunks))))
-        self.used, self.filled = self.used + len(ids), self.filled + len(chunks)
+        self.chunks = pa.array([], pa.large_string())
+        self.ids, self.first, self.size = np.zeros(0, "<u4"), np.zeros(0, "i8"), np.zeros(0, "i4")
 
     def _whole(self, chunk: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes chunks that begin with a space by way of their joined text,
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Encodes and keeps chunks that are not known; gives their places
+        among those.
+
+        Those that begin with a space are encoded by way of their joined text,
         which is cut again where they were cut: the tokens' bytes tell which
         belong to which. Others are encoded one by one.
         """
-        spaced = [c for c in new if len(c) > 1 and c[0] == " " and not c[-1].isspace() and not c[1].isspace()]
-        for i in range(0, len(spaced), 20_000):
-            some = spaced[i : i + 20_000]
-            text = "".join(some)
-            ids = self._whole(text)
-            ends = np.cumsum(self.sizes[ids])
-            if text.isascii():
-                wanted = np.cumsum(np.fromiter(map(len, some), "i8", len(some)))
-            else:
-                wanted = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in some), "i8", len(some)))
+        texts = new.to_pylist()
+        joins = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in texts], bool)
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        new = new.take(pa.array(order))
+        offsets = np.frombuffer(new.buffers()[1], "i8")[new.offset : new.offset + len(new) + 1]
+        n, ids, sizes = int(joins.sum()), [], []
+        for i in range(0, n, 400):
+            k = min(i + 400, n)
+            some = self._whole("".join([texts[j] for j in order[i:k]]))
+            ends = np.cumsum(self.sizes[some])
+            wanted = offsets[i + 1 : k + 1] - offsets[i]
             at = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[at], wanted):
                 raise ValueError("a token crosses chunks; is this vocabulary a byte-level BPE?")
-            self._keep(some, ids, at + 1)
-        if len(spaced) < len(new):
-            rest = [c for c in new if c not in self.slots]
-            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4") for e in found]
-            self._keep(rest, np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+            ids.append(some)
+            sizes.append(np.diff(at + 1, prepend=0))
+        if n < len(texts):
+            found = self.tokenizer.encode_batch_fast([texts[j] for j in order[n:]], add_special_tokens=False)
+            ids += [np.array(e.ids, "<u4") for e in found]
+            sizes.append(np.array([len(x) for x in ids[-len(found) :]], "i8"))
+        sizes = np.concatenate(sizes)
+        first = np.cumsum(sizes) - sizes + len(self.ids)
+        self.chunks = pa.concat_arrays([self.chunks, new])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, sizes.astype("i4")])
+        return np.argsort(order)
 
     @staticmethod
     def _pieces(block: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -162,25 +160,20 @@ class Encoder:
 
     def _coded(self, ends: np.ndarray, flat: pa.Array) -> list[bytes]:
         coded = flat.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        if len(self.slots) > self.cache:
+        if len(self.chunks) > self.cache or self.chunks.nbytes > 64 * self.cache:
             self._forget()
-        slots = list(map(self.slots.get, unique))
-        new = [i for i, s in enumerate(slots) if s is None]
-        if new:
-            self._learn([unique[i] for i in new])
-            for i in new:
-                slots[i] = self.slots[unique[i]]
-        slot = np.array(slots, "i4")[coded.indices.to_numpy()]
+        slots = pc.index_in(coded.dictionary, value_set=self.chunks)
+        place = slots.fill_null(-1).to_numpy()
+        if slots.null_count:
+            place, kept = place.copy(), len(self.chunks)
+            place[place < 0] = kept + self._learn(coded.dictionary.filter(slots.is_null()))
+        slot = place[coded.indices.to_numpy()]
         first, size = self.first[slot], self.size[slot]
         total = np.cumsum(size, dtype="i8")
         at = np.repeat(first - (total - size), size)
         at += np.arange(len(at))
         raw = self.ids[at].tobytes()
         stops = np.concatenate([[0], np.concatenate([[0], total])[ends]]) * 4
-        for i in new:  # long ones are kept for this block only
-            if len(unique[i]) > self.longest:
-                del self.slots[unique[i]]
         return [raw[a:b] + self.end for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
 
