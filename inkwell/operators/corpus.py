@@ -146,15 +146,47 @@ def density_table(rows: DataFrame, words: list[str], key: str = "novel_id", text
     return rows.select(key, F.length(text_col).alias("char_count"), *[text.density(F.col(text_col), w).alias(w) for w in words])
 
 
+def exact_quantiles(rows: DataFrame, value: str, group: str, shares: tuple[float, ...], accuracy: int = 100_000) -> DataFrame:
+    """(group, quantiles): exact quantiles, interpolated between neighbours.
+
+    A sketch of bounded size gives an interval around each quantile; what lies
+    below is counted, and only the values inside are sorted, equal ones as one
+    row. A group of up to ``accuracy`` values is sorted as a whole. Nulls are
+    left out.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    room = 4 / accuracy
+    bounds = [(max(p - room, 0.0), min(p + room, 1.0)) for p in shares]
+    sketch = F.percentile_approx("v", F.array(*[F.lit(x) for b in bounds for x in b]), accuracy)
+    ends = v.groupBy("g").agg(F.count(F.lit(1)).alias("n"), sketch.alias("q"))
+    small = F.col("n") <= accuracy
+    spans = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(small, float("-inf")).otherwise(F.get("q", F.lit(2 * i))).alias("low"), F.when(small, float("inf")).otherwise(F.get("q", F.lit(2 * i + 1))).alias("high"), (F.lit(p) * (F.col("n") - 1)).alias("at"))
+        for i, p in enumerate(shares)
+    ])
+    met = v.join(ends.select("g", spans.alias("spans")), "g")
+    below = met.groupBy("g").agg(F.array(*[F.count_if(F.col("v") < F.get("spans", F.lit(i))["low"]) for i in range(len(shares))]).alias("below"))
+    inside = met.select("g", "v", F.explode(F.filter("spans", lambda s: (s["low"] <= F.col("v")) & (F.col("v") <= s["high"]))).alias("s"))
+    inside = inside.groupBy("g", "s.i", "s.at", "v").agg(F.count(F.lit(1)).alias("m")).join(below, "g")
+    order = W.partitionBy("g", "i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    last = inside.withColumn("last", F.get("below", F.col("i")) + F.sum("m").over(order) - 1)
+    reached = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("v")))
+    pair = last.groupBy("g", "i", "at").agg(reached(F.floor("at")).alias("a"), reached(F.ceil("at")).alias("b"))
+    found = pair.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
+    found = found.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"))
+    return found.select(F.col("g").alias(group), F.transform("xs", lambda s: s["x"]).alias("quantiles"))
+
+
 def density_summary(table: DataFrame, words: list[str]) -> DataFrame:
     """By word: median, 90th percentile, maximum, and shares beyond the cuts."""
     long = table.select(F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.col(f"`{w}`").alias("d")) for w in words])).alias("x")).select("x.*")
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9)))
-    return long.groupBy("term").agg(
-        q[0].alias("median"), q[1].alias("p90"), F.max("d").alias("max"),
+    rest = long.groupBy("term").agg(
+        F.max("d").alias("max"),
         F.avg((F.col("d") >= decide.VIOLATING).cast("double")).alias("violating_share"),
         F.avg((F.col("d") <= decide.CLEAN).cast("double")).alias("clean_share"),
     )
+    q = exact_quantiles(long, "d", "term", (0.5, 0.9)).select("term", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p90"))
+    return q.join(rest, "term")
 
 
 def profile_status(rows: DataFrame) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import decide, text
 from ..functions.vocab import NEGATIONS, PROTAGONIST, SURFACE_FORMS, SYNTHESIS_NEGATIONS
@@ -69,13 +70,33 @@ def overlapping(rows: DataFrame, reserved: DataFrame, tokens: str, *, key: str,
     """Ids of rows whose tokens overlap those of a reserved row enough.
 
     ``reserved`` has ``ref`` and the same tokens column. Sets of fewer than
-    ``least`` tokens match nothing. Only pairs that share a token meet, and
-    counting their shared tokens needs no sets side by side.
+    ``least`` tokens match nothing.
+
+    Pairs meet on few tokens: of the smaller set of a pair, ``threshold`` of
+    the tokens are shared, so one of its others-plus-one rarest tokens is.
+    Only those are looked up in the other side, and the sets are compared
+    where they meet.
     """
-    a = rows.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("token")).where(F.col("n") >= least)
-    b = reserved.select("ref", F.size(tokens).alias("m"), F.explode(tokens).alias("token")).where(F.col("m") >= least)
-    shared = a.join(b, "token").groupBy(key, "ref").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return shared.where(F.col("c") / F.least("n", "m") >= threshold).select(key).distinct()
+    a = rows.select(F.col(key).alias("k"), F.col(tokens).alias("a"), F.size(tokens).alias("n")).where(F.col("n") >= max(least, 1))
+    b = reserved.select(F.col("ref").alias("r"), F.col(tokens).alias("b"), F.size(tokens).alias("m")).where(F.col("m") >= max(least, 1))
+
+    def rarest(side: DataFrame, words: str, size: str, other: DataFrame, others: str) -> DataFrame:
+        """The side with its rarest tokens in the other, as ``token``."""
+        held = other.select(F.explode(others).alias("token")).groupBy("token").count()
+        # A token that the other side lacks meets nothing, but takes a place among the rarest.
+        met = side.select("*", F.explode(words).alias("token")).join(held, "token", "left")
+        by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), "token")))
+        ids = [c for c in side.columns if c not in (words, size)]
+        ranked = met.groupBy(*ids, words, size).agg(by_rarity.alias("by"))
+        enough = F.col(size) - F.ceil(F.col(size) * threshold - 1e-9).cast("int") + 1
+        return ranked.select(*side.columns, F.explode(F.slice("by", 1, enough)).alias("at")).where("at.f > 0").select(*side.columns, "at.token")
+
+    every_a, every_b = a.select("*", F.explode("a").alias("token")), b.select("*", F.explode("b").alias("token"))
+    small_a = rarest(a, "a", "n", b, "b").join(every_b, "token").where("n <= m")
+    small_b = rarest(b, "b", "m", a, "a").join(every_a, "token").where("m < n")
+    pairs = small_a.select("k", "a", "b", "n", "m").unionByName(small_b.select("k", "a", "b", "n", "m"))
+    close = F.size(F.array_intersect("a", "b")) / F.least("n", "m") >= threshold
+    return pairs.where(close).select(F.col("k").alias(key)).distinct()
 
 
 def leaking(queries: DataFrame, reserved: DataFrame, *, key: str = "query_id", threshold: float = 0.8) -> DataFrame:
@@ -98,7 +119,7 @@ def deduplicate(queries: DataFrame, reserved: DataFrame, *, key: str = "query_id
     repeats = overlapping(toks.select(key, "__t"), reserved.select("ref", text.query_tokens(F.col("query")).alias("__t")), "__t", key=key, threshold=threshold)
     leaks = leaking(queries, reserved, key=key, threshold=threshold).withColumn("__leak", F.lit(True))
     marked = toks.join(repeats.withColumn("__dup", F.lit(True)), key, "left").join(leaks, key, "left")
-    schema = queries.schema.add("outcome", "string")
+    schema = StructType([*queries.schema.fields]).add("outcome", "string")
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
@@ -122,8 +143,8 @@ def deduplicate(queries: DataFrame, reserved: DataFrame, *, key: str = "query_id
                     by_token.setdefault(t, []).append(i)
         return frame.assign(outcome=outcome)[list(schema.names)]
 
-    keys = [group] if group else [F.lit(1)]
-    return marked.groupBy(*keys).applyInPandas(greedy, schema)
+    marked = marked.withColumn("__group", F.col(group) if group else F.lit(0))
+    return marked.groupBy("__group").applyInPandas(greedy, schema)
 
 
 def violated_terms(claimed: Column, unwanted: Column) -> Column:

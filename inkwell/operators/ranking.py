@@ -29,7 +29,6 @@ def select_for_scoring(
     by ``seq``, the candidates' order. If ``forced`` holds for one that was
     not chosen, the first such takes the last place.
     """
-    quotas_of = candidates.groupBy(*group).agg(F.count_distinct(key).alias("__n")) if group else None
     first = F.row_number().over(W.partitionBy(*group, key).orderBy("seq"))
     rows = candidates.withColumn("__first", first).where("__first = 1").drop("__first")
     every = _all(group)
@@ -41,7 +40,6 @@ def select_for_scoring(
             "__n": F.count(F.lit(1)).over(every),
         }
     )
-    del quotas_of
     # A pool smaller than k has quotas of its own size.
     table = F.array(*[F.array(*[F.lit(q) for q in decide.selection_quotas(n)]) for n in range(1, k + 1)])
     quota = F.get(table, F.least(F.col("__n"), F.lit(k)).cast("int") - 1)
@@ -50,7 +48,8 @@ def select_for_scoring(
     several = F.when(F.size(reasons) > 1, F.concat(reasons, F.array(F.lit("already_selected_multiple_reasons")))).otherwise(reasons)
     rows = rows.withColumn("reasons", several).withColumn("__hit", F.size("reasons") > 0)
     # Places in the order in which the views name candidates, then by retrieval score.
-    view = F.when(hits[0], F.struct(F.lit(0), F.col("__r"))).when(hits[1], F.struct(F.lit(1), F.col("__s"))).when(hits[2], F.struct(F.lit(2), F.col("__b"))).otherwise(F.struct(F.lit(3), F.col("__r")))
+    named = [F.struct(F.lit(i).alias("view"), F.col(c).alias("n")) for i, c in enumerate(("__r", "__s", "__b", "__r"))]
+    view = F.when(hits[0], named[0]).when(hits[1], named[1]).when(hits[2], named[2]).otherwise(named[3])
     rows = rows.withColumn("place", F.row_number().over(every.orderBy(view)))
     rows = rows.withColumn("reasons", F.when(F.col("__hit"), F.col("reasons")).otherwise(F.array(F.lit(REASONS[0]))))
     if forced is None:

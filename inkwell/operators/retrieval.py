@@ -32,21 +32,6 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search_small(queries: DataFrame, corpus: DataFrame, k: int, *, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
-    """Top k by inner product in SQL alone, for a handful of queries.
-
-    Columns: query_key, key, score, rank; ties go by key.
-    """
-    if k <= 0:
-        raise ValueError("k must be positive")
-    q = queries.select(F.col(query_key), F.col(vector).alias("__q")).where("__q IS NOT NULL")
-    # The queries are one array literal of a row, so every corpus row meets all of them in a projection.
-    packed = q.agg(F.collect_list(F.struct(query_key, "__q")).alias("__qs"))
-    met = corpus.select(key, F.col(vector).alias("__v")).join(F.broadcast(packed)).select(key, "__v", F.explode("__qs").alias("__x"))
-    scored = met.select(f"__x.{query_key}", key, inner_product(F.col("__x.__q"), F.col("__v")).alias("score"))
-    return _top(scored, k, query_key, key)
-
-
 def _top(scored: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
     order = W.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -58,7 +43,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, *, vector: str = "embe
     Queries are taken in blocks of at most ``block`` rows, each a matrix that
     every task holds; a task keeps the k best of its rows for each query, and
     a window merges them. The corpus is read once a block and never
-    shuffled.
+    shuffled. Scores are rounded to nine places; ties go by key.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -96,7 +81,8 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
                 continue
             column = batch.column(1)
             rows = np.asarray(column.flatten()).reshape(batch.num_rows, -1).astype("f8")
-            scores = np.concatenate([best, matrix @ rows.T], axis=1)
+            # Rounded, so that equal vectors tie wherever they stand in a block.
+            scores = np.concatenate([best, np.round(matrix @ rows.T, 9)], axis=1)
             keys = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
             order = np.lexsort((keys, -scores), axis=1)[:, :k]
             best, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)

@@ -13,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .types import type_of
 
@@ -31,7 +32,7 @@ def embed(rows: DataFrame, load: Callable[[], Encoder], *, text_col: str, role:
     """Adds ``embedding``: unit vectors of the texts, null for a zero vector."""
     if batch <= 0:
         raise ValueError("batch must be positive")
-    out = rows.schema.add("embedding", type_of("array<double>"))
+    out = StructType([*rows.schema.fields]).add("embedding", type_of("array<double>"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load()
@@ -51,7 +52,7 @@ def complete(rows: DataFrame, load: Callable[[], Completer], *, prompt_col: str
     """Adds ``response``: the answers to the prompts, ``threads`` at a time in
     each partition. A request that keeps failing has a null answer, and never
     fails the others."""
-    out = rows.schema.add("response", "string")
+    out = StructType([*rows.schema.fields]).add("response", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = load()

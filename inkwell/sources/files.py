@@ -119,7 +119,7 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_rows(spark: SparkSession, path: str, columns: tuple[str, ...] = ("query_id", "query", "wanted", "unwanted", "anchor_titles", "genre", "shape", "accepted"), mark: str = "✓") -> DataFrame:
     """Accepted rows of a table in a Markdown file; terms are lists."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).where(F.trim("value").startswith("|")).select(cells.alias("c")).where(F.size("c") == len(columns))
     rows = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(columns)])
     if "accepted" in columns:
@@ -130,4 +130,4 @@ def markdown_rows(spark: SparkSession, path: str, columns: tuple[str, ...] = ("q
 
 def terms(cell: Column) -> Column:
     """A cell's terms; a dash or nothing is none."""
-    return F.when(F.trim(cell).isin("—", "-", ""), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(cell, "、"), F.trim), lambda x: x != ""))
+    return F.when(F.trim(cell).isin("—", "-", ""), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(cell, "、"), lambda x: F.trim(x)), lambda x: x != ""))
