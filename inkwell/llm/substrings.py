@@ -121,7 +121,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = batch.column(0).to_numpy()
         # The last key of a batch may go on in the next one.
-        last = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
+        last = int(np.searchsorted(keys, keys[-1]))
         if last == 0 and held and held[-1].column(0)[0].as_py() == keys[0]:
             held.append(batch)
             continue
