@@ -117,7 +117,7 @@ def _times_taken(queued: DataFrame, repeats: int, budget: int | None):
     running = bins.select("bin", "words", F.sum("words").over(W.orderBy("bin")).alias("after"))
     cut = running.where(F.col("after") > budget).orderBy("bin").first()
     if cut is None:
-        return F.lit(repeats).cast("long")
+        return F.when(F.col("size") > 0, repeats).otherwise(1).cast("long")
     room = budget - (cut["after"] - cut["words"])
     edge = copies.where(F.col("bin") == cut["bin"])
     edge = edge.select("at", F.sum("size").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)).alias("after"))

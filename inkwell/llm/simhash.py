@@ -189,5 +189,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
-    return docs.join(gone.distinct(), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")

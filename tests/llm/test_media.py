@@ -52,7 +52,7 @@ def test_edited_copies_are_found_and_nothing_else(spark):
 
 
 def test_table_recall_against_brute_force(spark, sf):
-    """Links by all pairs of descriptors, without tables."""
+    """Links by all pairs of descriptors, without tables, placed alike."""
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     links = {(r["id"], r["class_id"]) for r in queries.op8_media_copies(spark, sf).where("kind = 'link'").collect()}
     asked = [(r["media_id"], media.describe(media.decode(bytes(r["media"])))) for r in pictures.images(df.where("vec_id % 20 = 0"), edit=True).collect()]
@@ -60,8 +60,19 @@ def test_table_recall_against_brute_force(spark, sf):
     want = set()
     for q, a in asked:
         for m, b in held:
-            apart = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(-1)
-            if (apart <= 32).any(axis=1).sum() >= 6:
+            i, j = np.nonzero(np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(-1) <= 32)
+            turn = (b["turn"][j].astype(int) - a["turn"][i]) % media.TURNS
+            scale = np.array(media.SCALES)
+            ratio, angle = scale[a["level"][i]] / scale[b["level"][j]], turn * 2 * np.pi / media.TURNS
+            left = b["x"][j] - ratio * (np.cos(angle) * a["x"][i] - np.sin(angle) * a["y"][i])
+            top = b["y"][j] - ratio * (np.sin(angle) * a["x"][i] + np.cos(angle) * a["y"][i])
+            votes = {}
+            for dx in (0, 0.5):
+                for dy in (0, 0.5):
+                    for k in range(len(i)):
+                        spot = (turn[k], round(ratio[k], 3), dx, dy, np.floor(left[k] / 8 + dx), np.floor(top[k] / 8 + dy))
+                        votes.setdefault(spot, []).append((i[k], j[k]))
+            if any(min(len({x for x, _ in v}), len({y for _, y in v})) >= 4 for v in votes.values()):
                 want.add((q, m))
     assert len(links & want) >= 0.9 * len(want) and len(want) >= 0.8 * len(asked)
 

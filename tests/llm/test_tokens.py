@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import rows
+from compare import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ PATH = tokens.vocabulary_path()
 @pytest.fixture(scope="module")
 def plain():
     found = Tokenizer.from_file(PATH)
+    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -42,6 +43,7 @@ def test_chunks_give_the_ids_of_whole_texts(plain, known, text):
 @given(st.lists(st.text(alphabet=st.sampled_from("ab1 .,'\n\té —日🙂sS-_<|>/\r\x1c"), max_size=30), min_size=1, max_size=5))
 def test_any_text(texts):
     one = Tokenizer.from_file(PATH)
+    one.encode_special_tokens = True
     found = tokens.encoder(PATH, 2).encode(texts)
     assert [decoded(x) for x in found] == [[*one.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
