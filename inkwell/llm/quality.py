@@ -156,7 +156,7 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], *, roun
     return model
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _features(rows: DataFrame) -> DataFrame:
     """(id, label, content, metadata) of a bounded sample, in sparse binary."""
 
     def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +172,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["id", "label", "content", "metadata"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("__label").cast("double").alias("label"), text_col, *_context(docs))
-    return rows.mapInArrow(viewed, "id long, label double, content binary, metadata binary")
+    return rows.select("id", "label", "text", "__source", "__lang").mapInArrow(viewed, "id long, label double, content binary, metadata binary")
 
 
 def _context(docs: DataFrame) -> list[Column]:
@@ -206,14 +205,14 @@ def train(
     on a tie; null labels and labels of unknown documents are not used. None
     if there are too few labels of either class.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
-    known = known.agg((F.avg(label_col) >= 0.5).cast("double").alias("__label"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(labelled)
-    found = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
-    rows = _features(found, id_col, text_col).collect()
-    others = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").orderBy(F.xxhash64("__id"), "__id").limit(pool)
-    loose = docs.join(F.broadcast(others.distinct()), docs[id_col] == F.col("__id")).withColumn("__label", F.lit(None))
-    free = _features(loose, id_col, text_col).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *_context(docs))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
+    known = known.agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
+    rows = _features(texts.join(F.broadcast(chosen), "id")).collect()
+    others = texts.select("id").where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(pool)
+    loose = texts.join(F.broadcast(others.distinct()), "id").withColumn("label", F.lit(None).cast("double"))
+    free = _features(loose).collect()
     # Order by content too, so that rows that repeat an id come in one order.
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["content"]))
     free.sort(key=lambda r: (r["id"], r["content"]))
