@@ -13,15 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import stage
 from .words import word_count
 
-#: Bins of virtual time; the one that holds the cut is sorted exactly.
-BINS = 4096
+#: Bins of virtual time, and the copies around the cut that one task sorts.
+BINS, EDGE = 4096, 50_000
 _KEY = ["no_source", "source"]
 
 
@@ -99,42 +99,51 @@ def queue(
     )
 
 
-def _finish(turn: int):
+def _finish(turn: int) -> Column:
     """Virtual time at which a document's copy number ``turn`` finishes."""
     spent = F.lit(turn) * F.col("source_size") + F.col("until")
     return F.when(F.col("target") > 0, spent.cast("double") / F.col("target")).otherwise(F.lit(0.0))
 
 
-def _times_taken(queued: DataFrame, repeats: int, budget: int | None):
+def _cut(copies: DataFrame, budget: int) -> tuple[float, Row | None] | None:
+    """Where the copies in their order pass the budget: all that finish before
+    the first value are in, and of the others those up to the second. None if
+    they never pass it.
+
+    The range of virtual time is cut into bins, of which the one with the cut
+    is cut again, until it has few enough copies to be sorted by one task. A
+    source's copies finish one after the other, so bins always get smaller.
+    """
+    finish = F.col("at.finish")
+    ends = [F.min(finish).alias("low"), F.max(finish).alias("high"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")]
+    found, inside = copies.agg(*ends).first(), copies
+    if not found["n"] or found["words"] <= budget:
+        return None
+    while found["n"] > EDGE and (step := (found["high"] - found["low"]) / BINS) > 0:
+        bins = inside.groupBy(F.least(F.floor((finish - found["low"]) / step), F.lit(BINS - 1)).alias("bin")).agg(*ends)
+        running = bins.withColumn("after", F.sum("words").over(W.orderBy("bin")))  # at most BINS rows
+        found = running.where(F.col("after") > budget).orderBy("bin").first()
+        budget -= found["after"] - found["words"]
+        inside = copies.where(finish.between(found["low"], found["high"]))
+    edge = inside.select("at", F.sum("size").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)).alias("after"))
+    return found["low"], edge.where(F.col("after") <= budget).agg(F.max("at").alias("at")).first()["at"]
+
+
+def _times_taken(queued: DataFrame, repeats: int, budget: int | None) -> Column:
     """How often a document is taken before the words reach the budget."""
     if budget is None:
         budget = queued.agg(F.sum("size")).first()[0] or 0
     tie = [F.col(c) for c in (*_KEY, "until", "key")]
-    turns = F.array(*[F.struct(_finish(t).alias("finish"), *tie, F.lit(t).alias("turn")) for t in range(repeats)])
-    copies = queued.where("size > 0").select(F.explode(turns).alias("at"), "size")
-    copies = copies.withColumn("bin", F.least(F.floor(F.col("at.finish") * (BINS // 2)), F.lit(BINS)).cast("int"))
-    bins = copies.groupBy("bin").agg(F.sum("size").alias("words"))
-    running = bins.select("bin", "words", F.sum("words").over(W.orderBy("bin")).alias("after"))
-    cut = running.where(F.col("after") > budget).orderBy("bin").first()
+    turns = [F.struct(_finish(t).alias("finish"), *tie, F.lit(t).alias("turn")) for t in range(repeats)]
+    cut = _cut(queued.where("size > 0").select(F.explode(F.array(*turns)).alias("at"), "size"), budget)
     if cut is None:
-        return F.when(F.col("size") > 0, repeats).otherwise(1).cast("long")
-    room = budget - (cut["after"] - cut["words"])
-    edge = copies.where(F.col("bin") == cut["bin"])
-    edge = edge.select("at", F.sum("size").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)).alias("after"))
-    last = edge.where(F.col("after") <= room).agg(F.max("at").alias("at")).first()["at"]
-    taken = F.lit(0).cast("long")
-    for t in range(repeats):
-        bin_of = F.least(F.floor(_finish(t) * (BINS // 2)), F.lit(BINS)).cast("int")
-        inside = bin_of < cut["bin"]
-        if last is not None:
-            here = F.struct(_finish(t).alias("finish"), *tie, F.lit(t).alias("turn"))
-            limit = F.struct(
-                F.lit(last["finish"]), F.lit(last["no_source"]), F.lit(last["source"]),
-                F.lit(last["until"]).cast("long"), F.lit(last["key"]), F.lit(last["turn"]),
-            )
-            inside = inside | ((bin_of == cut["bin"]) & (here <= limit))
-        taken = taken + inside.cast("long")
-    return F.when(F.col("size") > 0, taken).otherwise(F.lit(1).cast("long"))
+        taken = F.lit(repeats)
+    else:
+        low, last = cut
+        names = [("no_source", "boolean"), ("source", "string"), ("until", "long"), ("key", "string"), ("turn", "int")]
+        limit = None if last is None else F.struct(F.lit(last["finish"]).alias("finish"), *[F.lit(last[n]).cast(k).alias(n) for n, k in names])
+        taken = sum((F.when(t["finish"] < low if limit is None else t <= limit, 1).otherwise(0) for t in turns), F.lit(0))
+    return F.when(F.col("size") > 0, taken).otherwise(1).cast("long")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:

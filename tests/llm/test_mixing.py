@@ -80,3 +80,11 @@ def test_empty_and_wordless(spark, none):
 def test_a_budget(documents):
     found = mixing.queue(documents, budget=1000)
     assert found.agg(F.sum(F.col("taken") * F.col("size"))).first()[0] <= 1000
+
+
+@pytest.mark.parametrize(("bins", "edge"), [(2, 1), (7, 3), (4096, 50_000)])
+def test_bins_do_not_change_the_cut(spark, documents, hard, monkeypatch, bins, edge):
+    want = [rows(mixing.queue(d).select("doc_id", "size", "taken")) for d in (documents, hard)]
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "EDGE", edge)
+    assert [rows(mixing.queue(d).select("doc_id", "size", "taken")) for d in (documents, hard)] == want
