@@ -118,15 +118,6 @@ def contributions(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return out.withColumns({f"{n}_share": F.when(F.col("total_spread") > 0, F.col(n) / F.col("total_spread")) for n in names})
 
 
-def match_prompt(query: Column, title: Column, profile: Column) -> Column:
-    """What a matcher is asked about one candidate."""
-    fields = '{"llm_match_score": 0-1, "confidence": "high|medium|low", "matched_preferences": [], "violated_preferences": [], "risk_flags": [], "reason": ""}'
-    return F.concat(
-        F.lit("Rate how well this book fits the reader's request. Name each exclusion that it breaks.\nRequest: "), query,
-        F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nProfile:\n"), profile, F.lit("\nAnswer with this JSON only: " + fields),
-    )
-
-
 def with_profiles(candidates: DataFrame, profiles: DataFrame, key: str = "novel_id") -> DataFrame:
     """Adds profile_text, the preview where a profile is missing or empty."""
     known = profiles.select(key, F.col("profile_text").alias("__p")).dropDuplicates([key])

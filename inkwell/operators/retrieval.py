@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decide
-from ..functions.answers import expanded
+from ..functions.answers import expanded, parse_expansion
+from ..functions.text import strip as trimmed
 from ..functions.vocab import HINTS
 from ..schemas import require_columns
+from . import preferences
 
 #: Bound on query vectors of one block; a block is a matrix in every task.
 BLOCK = 4096
@@ -113,6 +115,24 @@ def expand(raw: str, positive: Sequence[str] = (), negative: Sequence[str] = (),
     return _distinct(found)[:most]
 
 
+def variants(queries: DataFrame, *, most: int = 5, hints=HINTS) -> DataFrame:
+    """``expand`` for many requests: (query_id, seq, text, source, weight).
+
+    ``queries`` has query_id and query, and ``answer`` if a model was asked.
+    """
+    parsed = queries.withColumn("__p", preferences.parse(F.col("query")))
+    known = F.create_map(*[x for k, ws in hints.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in ws]))])
+    terms = F.concat("__p.positive", F.transform("__p.negative", lambda t: F.concat(F.lit("不"), t)))
+    words = F.flatten(F.filter(F.transform(terms, lambda t: F.try_element_at(known, t)), lambda x: x.isNotNull()))
+    one = lambda text, source, weight: F.struct(text.alias("text"), F.lit(source).alias("source"), F.lit(weight).alias("weight"))
+    fixed = F.array(one(trimmed(F.col("query")), "raw", 1.0), one(F.array_join(F.array_distinct(words), " "), "domain_hints", 0.8))
+    told = parse_expansion(F.col("answer")) if "answer" in queries.columns else F.array().cast("array<struct<text:string,source:string,weight:double>>")
+    found = F.filter(F.concat(fixed, F.coalesce(told, F.array().cast("array<struct<text:string,source:string,weight:double>>"))), lambda x: x["text"] != "")
+    rows = parsed.select("query_id", found.alias("__f")).withColumn("__t", F.transform("__f", lambda x: x["text"]))
+    first = F.filter("__f", lambda x, i: F.array_position(F.col("__t"), x["text"]) == i + 1)
+    return rows.select("query_id", F.posexplode(F.slice(first, 1, most)).alias("seq", "v")).select("query_id", "seq", "v.*")
+
+
 def _distinct(found: list[dict]) -> list[dict]:
     seen: dict[str, dict] = {}
     for q in found:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decide
+from ..functions import decide, prompts
 from ..operators import preferences, ranking, retrieval
 from ..protocols import Completer, Encoder, complete, embed
 
@@ -72,7 +72,7 @@ def _scored(pool: DataFrame, request: str, models: Models, settings: Settings, c
     if models.matcher is None or not k:
         return pool.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     text = F.substring("profile_text", 1, settings.profile_chars)
-    chosen = ranking.select_for_scoring(pool, k).select("novel_id", ranking.match_prompt(F.lit(request), F.col("title_guess"), text).alias("prompt"))
+    chosen = ranking.select_for_scoring(pool, k).select("novel_id", prompts.match(F.lit(request), F.col("title_guess"), text).alias("prompt"))
     chosen = chosen.withColumn("cache_key", decide.cache_key(prompt_hash=F.sha2("prompt", 256), model=F.lit(settings.model)))
     if cache is None:
         cache = pool.sparkSession.createDataFrame([], "cache_key string, seq bigint, response string")
@@ -87,7 +87,7 @@ def explain(ranked: DataFrame, request: str, load: Callable[[], Completer] | Non
     plain = F.concat(title, F.lit(": score "), F.format_number("final_score", 3), F.when(F.size("violated") > 0, F.concat(F.lit("; breaks "), F.array_join("violated", ", "))).otherwise(""))
     if load is None:
         return ranked.withColumn("explanation", plain).orderBy("final_rank")
-    prompt = F.concat(F.lit(f"Explain in a sentence why this book fits the request. Request: {request}\nBook: "), title, F.lit("\n"), F.col("profile_text"), F.lit('\nAnswer as {"summary": ""}'))
+    prompt = prompts.explanation(F.lit(request), title, F.col("profile_text"))
     told = complete(ranked.withColumn("prompt", prompt), load)
     found = F.get_json_object(F.regexp_extract("response", r"(?s)\{.*\}", 0), "$.summary")
     return told.withColumn("explanation", F.coalesce(F.nullif(found, F.lit("")), plain)).drop("prompt", "response").orderBy("final_rank")

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+HERE = Path(__file__).resolve().parent
+for folder in (HERE, HERE.parent):
+    sys.path.insert(0, str(folder))
+# Workers import the same modules.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")])
 
 from inkwell.session import session  # noqa: E402
 
@@ -27,9 +32,3 @@ def spark(tmp_path_factory):
     found.sparkContext.setLogLevel("ERROR")
     yield found
     found.stop()
-
-
-def rows(df, *order: str) -> list[tuple]:
-    """All rows as tuples, sorted by the columns named or by their text."""
-    found = [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
-    return found if order else sorted(found, key=str)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from inkwell.functions import decide
@@ -77,7 +77,7 @@ def test_evidence_avoids_the_profile(spark):
     assert not set(profiles.evidence_chapters("k", parts)) & set(profiles.sampled_chapters(60))
     assert set(profiles.evidence_windows()).isdisjoint(profiles.window_starts(10))
     assert profiles.evidence_of("k", "") == ""
-    found = spark.createDataFrame([("k", "正文。" * 2000)], "k string, t string").select(profiles.evidence("k", "t").alias("e")).first()["e"]
+    found = spark.createDataFrame([("k", "正文。" * 2000)], "k string, t string").select(profiles.evidence_with()("k", "t").alias("e")).first()["e"]
     assert 0 < len(found) <= 6 * 710
 
 
