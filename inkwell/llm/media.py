@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
+from .workers import tidied
 
 SCALES = (1.0, 0.75, 0.5)
 CORNERS = (16, 10, 6)
@@ -197,7 +198,7 @@ def described(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 points.append(known[digest])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(points, pa.binary())], ["id", "digest", "points"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("m")).mapInArrow(run, "id long, digest binary, points binary")
+    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("m")).mapInArrow(tidied(run), "id long, digest binary, points binary")
 
 
 def _digest(item: bytes | None) -> bytes:
@@ -229,7 +230,7 @@ def _points(classes: DataFrame) -> DataFrame:
 
     names = ["class", "n", "x", "y", "size", "turn", "w0", "w1", "w2", "w3", "table", "key"]
     kinds = ["long"] * 2 + ["double"] * 3 + ["long"] * 7
-    return classes.select("class", "points").mapInArrow(split, ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
+    return classes.select("class", "points").mapInArrow(tidied(split), ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
 
 
 def find_copies(

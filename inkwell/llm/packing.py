@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 from .tokens import encoder, vocabulary_path
+from .workers import slices, tidied
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -67,7 +68,7 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
 def _pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary_path(vocabulary), end_id)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode(batch.column(1).to_pylist()), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)
@@ -78,7 +79,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], _NAMES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, ", ".join(f"{c} long" for c in _NAMES))
+    return rows.mapInArrow(tidied(cut), ", ".join(f"{c} long" for c in _NAMES))
 
 
 def pack(

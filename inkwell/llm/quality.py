@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import tidied
+
 TRIGRAMS = 2048
 _SOURCES, _LANGS = 64, 16
 LAYOUT = _SOURCES + _LANGS + 8
@@ -172,7 +174,7 @@ def _features(rows: DataFrame) -> DataFrame:
                 ["id", "label", "content", "metadata"],
             )
 
-    return rows.select("id", "label", "text", "__source", "__lang").mapInArrow(viewed, "id long, label double, content binary, metadata binary")
+    return rows.select("id", "label", "text", "__source", "__lang").mapInArrow(tidied(viewed), "id long, label double, content binary, metadata binary")
 
 
 def _context(docs: DataFrame) -> list[Column]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .staging import stage
+from .workers import tidied
 
 _PAIRS = 0x5555555555555555
 
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8"))], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(hashed, "id long, fp long")
+    return rows.mapInArrow(tidied(hashed), "id long, fp long")
 
 
 def _blocks(n: int, bits: int) -> list[int]:
@@ -151,7 +152,7 @@ def links(distinct: DataFrame, n: int, bits: int) -> DataFrame:
         "fp",
     )
     dealt = placed.repartition("table", "cell").sortWithinPartitions("table", "cell", "rest", "fp")
-    return dealt.mapInArrow(lambda batches: _linked(batches, bits), "u long, v long")
+    return dealt.mapInArrow(tidied(lambda batches: _linked(batches, bits)), "u long, v long")
 
 
 def near_duplicates(

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import tidied
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 #: Bytes of a window's hash that travel beside the 8 of its minimizer.
@@ -193,8 +195,8 @@ def repeated_windows(
                     at, size = i + 1, 0
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.col(text_col).alias("text"))
-    runs = rows.mapInArrow(sent, "key long, doc long, start int, length int, hashes binary")
-    return runs.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc long, start long, length long")
+    runs = rows.mapInArrow(tidied(sent), "key long, doc long, start int, length int, hashes binary")
+    return runs.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(_repeated), "doc long, start long, length long")
 
 
 def drop_repeats(
@@ -242,6 +244,6 @@ def drop_repeats(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     joined = rows.withColumn("doc", F.coalesce("id", F.lit(_NULL))).join(gone, "doc", "left").select("id", "text", "gone")
     schema = "id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept binary, kept_sha256 string"
-    return joined.mapInArrow(kept, schema).select(
+    return joined.mapInArrow(tidied(kept), schema).select(
         F.col("id").alias(id_col), "n_words", "n_removed", "removed", F.col("kept").cast("string").alias("kept_text"), "kept_sha256"
     )

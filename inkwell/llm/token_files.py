@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 from .tokens import encoder, vocabulary_path
+from .workers import slices, tidied
 
 _HEAD = struct.Struct("<QI")
 _DOC = struct.Struct("<q?B")
@@ -84,16 +85,14 @@ def write_token_files(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary_path(vocabulary), end_id)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
-                ids = known.encode(some.column(1).to_pylist())
-                rows = [frame(d, x, width) for d, x in zip(some.column(0).to_pylist(), ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
+        for some in slices(batches):
+            ids = known.encode(some.column(1).to_pylist())
+            rows = [frame(d, x, width) for d, x in zip(some.column(0).to_pylist(), ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(encoded, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(tidied(encoded), "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
 def index_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +116,7 @@ def index_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = files.mapInArrow(
-        indexed, "file string, offset long, n_bytes long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+        tidied(indexed), "file string, offset long, n_bytes long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     )
     index = stage(found, "token-index")
     name = F.substring_index("file", "/", -1)
@@ -150,4 +149,4 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
 
     at = wanted.groupBy("file").agg(F.collect_list(F.struct("offset", "n_bytes", "place")).alias("at"))
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    return files.join(at, "file").select("content", "at").mapInArrow(picked, "doc_id long, place long, ids array<int>")
+    return files.join(at, "file").select("content", "at").mapInArrow(tidied(picked), "doc_id long, place long, ids array<int>")

@@ -28,7 +28,7 @@ _CLASS = np.zeros(256, "u1")
 _CLASS[[32, 10]] = 1
 _CLASS[[i for i in range(128) if chr(i).isalnum()]] = 2
 _CLASS[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = 3
-_BLOCK = 1 << 23
+_BLOCK = 1 << 22
 
 
 class Encoder:
@@ -38,7 +38,7 @@ class Encoder:
     of them or their text passes a bound.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = 1_500_000) -> None:
+    def __init__(self, path: str, end_id: int, cache: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,7 +120,7 @@ class Encoder:
         return ends, flat, odd
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, in blocks of about eight million characters."""
+        """The ids of each text, in blocks of about four million characters."""
         block, size = [], 0
         for text in texts:
             block.append(text or "")
