@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.answers import parse_strict, trailing_text
+from ..functions.text import strip
 
 
 def sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
@@ -104,12 +105,14 @@ def rewards(rows: DataFrame, text_col: str = "response", finish: str | None = No
     """Adds the reward of each output and its terms.
 
     ``rows`` has constraint_terms, rule_verdict and partner_anchor. An output
-    ends well if nothing follows its object, or by ``finish`` if that is
+    ends well if nothing follows its object, or by ``finish`` where that is
     known.
     """
     out = rows.withColumns({"__v": parse_strict(F.col(text_col)), "__rest": trailing_text(F.col(text_col))})
     good = F.col("__v.score").isNotNull()
-    stopped = F.coalesce(F.trim("__rest") == "", F.lit(False)) if finish is None else F.coalesce(F.col(finish) == "stop", F.lit(False))
+    stopped = F.coalesce(strip(F.col("__rest")) == "", F.lit(False))
+    if finish is not None:
+        stopped = F.coalesce(F.col(finish) == "stop", stopped)
     rule = F.when(F.size("constraint_terms") > 0, F.col("rule_verdict"))
     claimed = F.coalesce(decide.claims(F.col("__v.violated"), F.col("constraint_terms")), F.lit(False))
     out = out.withColumns(

@@ -34,7 +34,8 @@ def anchor_metrics(results: DataFrame, queries: DataFrame, ks: Sequence[int] = (
 
     The first k rows of a query are those of the least ranks. A query counts
     as hit if it has any of its anchors; all queries with anchors count for
-    every system, and one that returned nothing is a miss.
+    every system, and one that returned nothing is a miss. Without any
+    anchors the rates are 0.
     """
     place = F.row_number().over(W.partitionBy("query_id", "system_variant").orderBy("rank", "title_guess"))
     ranked = results.withColumn("place", place).where(F.col("place") <= max(ks))
@@ -56,11 +57,13 @@ def anchor_metrics(results: DataFrame, queries: DataFrame, ks: Sequence[int] = (
         F.count_if(found).alias("found"), F.count(F.lit(1)).alias("anchors"), F.min_by(F.when(found, F.col("rank")), F.col("place")).alias("first_rank")
     )
     top = (F.col("k") == max(ks)) & (F.col("found") > 0)
-    return one.groupBy("system_variant", "k").agg(
+    rates = one.groupBy("system_variant", "k").agg(
         F.avg((F.col("found") > 0).cast("double")).alias("hit_rate"),
         (F.sum("found") / F.sum("anchors")).alias("anchor_recall"),
         F.avg(F.when(top, F.col("first_rank"))).alias("mean_first_rank"),
     )
+    named = systems.select("system_variant", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return named.join(rates, ["system_variant", "k"], "left").fillna(0.0, ["hit_rate", "anchor_recall"])
 
 
 def anchor_folds(queries: DataFrame, titles: DataFrame, folds: DataFrame, *, order: str = "seq", key: str = "novel_id") -> DataFrame:

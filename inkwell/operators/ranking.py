@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.answers import parse_match
+from ..functions.vocab import PROFILE_MARKS
 from ..protocols import Completer, complete
 
-REASONS = ("retrieval_score_top", "semantic_score_top", "best_rank_top")
+REASONS = ("retrieval_score_top", "semantic_score_top", "best_faiss_rank_top")
 
 
 def _all(group: Sequence[str]):
@@ -72,7 +73,7 @@ def normalized(score: Column, group: Sequence[str] = ()) -> Column:
 
 
 def fuse(
-    candidates: DataFrame, *, group: Sequence[str] = (), policy: str = "impute", scaled_risk: bool = False, text: Column | None = None, marks: Sequence[str] = ("boilerplate",)
+    candidates: DataFrame, *, group: Sequence[str] = (), policy: str = "impute", scaled_risk: bool = False, text: Column | None = None, marks: Sequence[str] = PROFILE_MARKS
 ) -> DataFrame:
     """Final scores and ranks of scored and unscored candidates alike.
 

@@ -42,7 +42,7 @@ quotas(size, q1, q2, q3) AS (VALUES (1, 1, 0, 0), (2, 1, 1, 0), (3, 1, 1, 1), (4
 named AS (SELECT *, r <= q1 AS h1, s <= q2 AS h2, b <= q3 AS h3 FROM views JOIN quotas USING (size)),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY CASE WHEN h1 THEN 0 WHEN h2 THEN 1 WHEN h3 THEN 2 ELSE 3 END, CASE WHEN h1 THEN r WHEN h2 THEN s WHEN h3 THEN b ELSE r END) AS place,
-    concat_ws('|', CASE WHEN h1 THEN 'retrieval_score_top' END, CASE WHEN h2 THEN 'semantic_score_top' END, CASE WHEN h3 THEN 'best_rank_top' END,
+    concat_ws('|', CASE WHEN h1 THEN 'retrieval_score_top' END, CASE WHEN h2 THEN 'semantic_score_top' END, CASE WHEN h3 THEN 'best_faiss_rank_top' END,
       CASE WHEN h1::INT + h2::INT + h3::INT > 1 THEN 'already_selected_multiple_reasons' END) AS given FROM named),
 selected AS (SELECT *, CASE WHEN given = '' THEN 'retrieval_score_top' ELSE given END AS reasons FROM placed WHERE place <= 8)"""
 _VERDICTS_SQL = """

@@ -234,6 +234,8 @@ def test_anchor_metrics(spark):
     one = {r["k"]: r for r in evaluation.anchor_metrics(found, queries, (1, 5)).collect()}
     assert (one[5]["hit_rate"], one[5]["anchor_recall"], one[5]["mean_first_rank"]) == (0.5, pytest.approx(1 / 3), 3.0)
     assert one[1]["hit_rate"] == 0
+    none = evaluation.anchor_metrics(found, queries.where("query_id = 'q3'"), (1, 5)).collect()
+    assert [(r["hit_rate"], r["anchor_recall"], r["mean_first_rank"]) for r in none] == [(0.0, 0.0, None)] * 2
 
 
 def test_logs(spark):
@@ -266,6 +268,9 @@ def test_rewards_of_outputs(spark):
     assert found[2]["reward"] == pytest.approx(0.58 * 0.4)
     assert found[3]["reward"] == 0.0 and not found[3]["format_ok"]
     assert found[4]["r_constraint"] is None and found[4]["reward"] == pytest.approx(0.02)
+    told = df.withColumn("finish", F.when(F.col("i") == 1, "length").when(F.col("i") == 2, "stop"))
+    ends = {r["i"]: r["r_terminate"] for r in datasets.rewards(told, finish="finish").collect()}
+    assert ends == {1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0}
     flat = datasets.score_fields(datasets.rewards(df)).collect()
     assert all(r["r_constraint"] is not None for r in flat)
 
