@@ -81,6 +81,16 @@ def test_evidence_avoids_the_profile(spark):
     assert 0 < len(found) <= 6 * 710
 
 
+def test_fractions_keep_their_distance(spark):
+    df = spark.range(40).select(profiles.apart_fractions(F.col("id").cast("string"), 4).alias("f"))
+    found = [tuple(r["f"]) for r in df.collect()]
+    assert len(set(found)) == 40 and all(abs(x - a) >= 0.08 - 1e-9 or x == 0.97 for f in found for x in f for a in (0.0, 0.5, 1.0))
+    cut = spark.range(1).select(profiles.window_at(F.lit("abc"), F.lit(0.9), 10).alias("a"), profiles.window_at(F.lit("abcdef"), F.lit(0.5), 2).alias("b")).first()
+    assert (cut["a"], cut["b"]) == ("abc", "de")
+    with pytest.raises(ValueError, match="positive"):
+        profiles.apart_fractions(F.lit("x"), 0)
+
+
 def test_search_small_vectors(spark):
     corpus_df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.8, 0.6]), (3, None)], "vec_id long, embedding array<float>")
     queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, embedding array<float>")
