@@ -11,7 +11,7 @@ def document_path() -> str:
     Directories are source, language and blocks of a thousand ids; every
     twentieth document is a licence file one to three levels deep.
     """
-    return """concat(source, CASE WHEN doc_id % 20 <> 0 OR doc_id % 40 = 0 THEN concat('/', lang) ELSE '' END,
+    return """concat(coalesce(source, ''), CASE WHEN doc_id % 20 <> 0 OR doc_id % 40 = 0 THEN concat('/', coalesce(lang, '')) ELSE '' END,
       CASE WHEN doc_id % 20 <> 0 OR doc_id % 80 = 0 THEN concat('/', CAST(floor(doc_id / 1000) AS BIGINT)) ELSE '' END,
       CASE WHEN doc_id % 20 = 0 THEN concat('/LICENSE-', doc_id) ELSE concat('/', doc_id, '.txt') END)"""
 
