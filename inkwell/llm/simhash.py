@@ -58,15 +58,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): every document's fingerprint as a signed 64-bit number."""
+    """(id, text_key, fp): every document's fingerprint as a signed 64-bit
+    number, and the hash of its text as it is."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), "u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8"))], ["id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), "u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view("i8"))], ["id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidied(hashed), "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidied(hashed), "id long, text_key long, fp long")
 
 
 def _blocks(n: int, bits: int) -> list[int]:
@@ -169,6 +170,13 @@ def near_duplicates(
     that repeat an id get a row each. An empty table gives no rows. Other
     columns are ignored.
     """
+    return _labelled(docs, id_col, text_col, width, bits).select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int = 4, bits: int = 4) -> DataFrame:
+    """(id, text_key, fp, root, component_id) of every document."""
     prints = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = stage(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     found = components(links(classes.select("fp"), classes.count(), bits))
@@ -176,19 +184,42 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = member.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    labels = member.select("fp", "root").join(roots, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp")
+
+
+def keep_one(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each component, with the columns of ``docs``.
+
+    ``labelled`` has (id, text_key, component) for every row of ``docs``;
+    text_key is ``F.xxhash64`` of the text. Of a component the row with the
+    least id stays, null last, then that with the least text_key. Rows that
+    repeat both are one, with the least values of the other columns.
+    """
+    unknown = F.col("id").isNull()
+    rank = F.struct(unknown.alias("unknown"), "id", "text_key")
+    sets = labelled.groupBy("component", "id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    best = sets.groupBy("component").agg(F.min(rank).alias("best"))
+    ranked = sets.join(best, "component").select("id", "text_key", "n", (rank == F.col("best")).alias("wins"))
+    losing = ranked.where("n > 1 OR NOT wins").select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
+    many = ranked.where("n > 1 AND wins").select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
+
+    def same(keys: DataFrame):
+        return [docs[id_col].eqNullSafe(keys["__id"]), F.xxhash64(docs[text_col]) == keys["__text"]]
+
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.min(F.struct(F.lit(0), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])).alias("__rest")
+    one = docs.join(many, same(many), "left_semi").groupBy(docs[id_col], docs[text_col]).agg(rest)
+    back = {c: F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(others)}
+    one = one.select(*[back.get(c, F.col(c)) for c in docs.columns])
+    return docs.join(losing, same(losing), "left_anti").unionByName(one)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component.
+    """One row of ``docs`` for each component: that with the least id.
 
-    Rows that repeat such an id all stay, if they have its fingerprint's
-    component; documents with a null id stay if no id of their component is
-    known.
+    Ids that are null come last, and rows that repeat an id are told apart by
+    their texts: of those with the least id only one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    found = _labelled(docs, id_col, text_col, **options)
+    return keep_one(docs, found.select("id", "text_key", F.col("root").alias("component")), id_col, text_col)

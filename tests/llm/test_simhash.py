@@ -113,3 +113,12 @@ def test_long_chain_of_components(spark):
     found = components.components(edges)
     assert found.count() == 601 and found.select("root").distinct().collect()[0]["root"] == 0
     assert components.components(edges.where("u < 0")).count() == 0
+
+
+def test_one_row_a_component_stays(spark):
+    """Null ids and repeated ids with different texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(1, ""), (None, None), (None, a), (None, b), (None, b.upper()), (4, c), (4, "quite another text"), (3, c.upper()), (6, "said twice"), (6, "said twice")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in simhash.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, ""), (None, a), (None, b), (4, "quite another text"), (3, c), (6, "said twice")], key=str)
