@@ -201,7 +201,8 @@ def train(
     pool: int = 5000,
     **options,
 ) -> Model | None:
-    """Trains on ``labelled`` labelled documents and ``pool`` others at most.
+    """Trains on ``labelled`` labelled documents and ``pool`` unlabelled ones
+    at most.
 
     A document with several labels has the one that most of them give, good
     on a tie; null labels and labels of unknown documents are not used. None
@@ -212,7 +213,8 @@ def train(
     known = known.agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
     rows = _features(texts.join(F.broadcast(chosen), "id")).collect()
-    others = texts.select("id").where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(pool)
+    # No labelled document is in the pool, whether it is chosen or not.
+    others = texts.select("id").where("id IS NOT NULL").join(known.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool)
     loose = texts.join(F.broadcast(others.distinct()), "id").withColumn("label", F.lit(None).cast("double"))
     free = _features(loose).collect()
     # Order by content too, so that rows that repeat an id come in one order.

@@ -63,3 +63,11 @@ def test_samples_are_bounded_by_their_parameters(spark, documents, sf):
     assert quality.train(repeated, labels, labelled=40, pool=30) is not None
     with pytest.raises(TypeError):
         quality.train(documents, labels, unknown=1)
+
+
+def test_no_labelled_document_is_in_the_pool(spark, documents, sf, monkeypatch):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(quality, "co_train", lambda x, y, pool, **options: (len(y), len(pool[0])))
+    free = documents.join(labels.where("quality IS NOT NULL"), "doc_id", "left_anti").count()
+    seen, pool = quality.train(documents, labels, labelled=40)
+    assert seen == 40 and pool == free < documents.count()
