@@ -3,25 +3,26 @@
 Each source queues its documents in a shuffled order, as many times over as
 it may repeat. A queued document finishes at the virtual time "words of its
 source so far, over the source's target"; the mix is all documents in the
-order of that time, cut where the words taken reach the budget.
+order of that time, cut where the words taken reach the budget. A source's
+document that the cut goes through is taken if that brings the source nearer
+to its target.
 
-The running sums never gather a source in one task: each source is cut into
-4096 buckets of its shuffled order, whose sums are added up first.
+No running sum gathers a source, or all copies, in one task: each source is
+cut into 4096 buckets of its shuffled order, and the copies are sorted into
+ranges of their time; the sums of buckets and ranges are added up first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import stage
 from .words import word_count
 
-#: Bins of virtual time, and the copies around the cut that one task sorts.
-BINS, EDGE = 4096, 50_000
 _KEY = ["no_source", "source"]
 
 
@@ -94,8 +95,12 @@ def queue(
         ),
         "queued",
     )
-    return queued.select(
-        F.col("id").alias(id_col), *_KEY, "size", "source_size", "target", "until", _times_taken(queued, repeats, budget).alias("taken")
+    cut = _cut(queued, repeats, budget)
+    turns = sum((F.when(t <= F.col("last"), 1).otherwise(0) for t in _turns(repeats)), F.lit(0))
+    # A source that gives nothing has no last copy; a document without words stays as it is.
+    taken = F.when(F.col("size") > 0, F.when(F.col("last").isNotNull(), turns).otherwise(0)).otherwise(1)
+    return queued.join(cut, _KEY, "left").select(
+        F.col("id").alias(id_col), *_KEY, "size", "source_size", "target", "until", taken.cast("long").alias("taken")
     )
 
 
@@ -105,45 +110,40 @@ def _finish(turn: int) -> Column:
     return F.when(F.col("target") > 0, spent.cast("double") / F.col("target")).otherwise(F.lit(0.0))
 
 
-def _cut(copies: DataFrame, budget: int) -> tuple[float, Row | None] | None:
-    """Where the copies in their order pass the budget: all that finish before
-    the first value are in, and of the others those up to the second. None if
-    they never pass it.
+def _turns(repeats: int) -> list[Column]:
+    """The place of each of a document's copies in the order of all copies."""
+    tie = [F.col(c) for c in (*_KEY, "until", "key")]
+    return [F.struct(_finish(t).alias("finish"), *tie, F.lit(t).alias("turn")) for t in range(repeats)]
+
+
+def _cut(queued: DataFrame, repeats: int, budget: int | None) -> DataFrame:
+    """(no_source, source, last): the place of the last copy that each source
+    gives to the mix, null if it gives none.
 
-    The range of virtual time is cut into bins, of which the one with the cut
-    is cut again, until it has few enough copies to be sorted by one task. A
-    source's copies finish one after the other, so bins always get smaller.
+    All copies are sorted into ranges of their place. A copy is before the
+    cut if the running sum up to it keeps to the budget: the sum of the
+    ranges before its own, and that within its range. Of a source's copies
+    those before the cut come first; the next one is taken too if the source
+    is nearer to its target with it.
     """
-    finish = F.col("at.finish")
-    ends = [F.min(finish).alias("low"), F.max(finish).alias("high"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")]
-    found, inside = copies.agg(*ends).first(), copies
-    if not found["n"] or found["words"] <= budget:
-        return None
-    while found["n"] > EDGE and (step := (found["high"] - found["low"]) / BINS) > 0:
-        bins = inside.groupBy(F.least(F.floor((finish - found["low"]) / step), F.lit(BINS - 1)).alias("bin")).agg(*ends)
-        running = bins.withColumn("after", F.sum("words").over(W.orderBy("bin")))  # at most BINS rows
-        found = running.where(F.col("after") > budget).orderBy("bin").first()
-        budget -= found["after"] - found["words"]
-        inside = copies.where(finish.between(found["low"], found["high"]))
-    edge = inside.select("at", F.sum("size").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)).alias("after"))
-    return found["low"], edge.where(F.col("after") <= budget).agg(F.max("at").alias("at")).first()["at"]
-
-
-def _times_taken(queued: DataFrame, repeats: int, budget: int | None) -> Column:
-    """How often a document is taken before the words reach the budget."""
     if budget is None:
         budget = queued.agg(F.sum("size")).first()[0] or 0
-    tie = [F.col(c) for c in (*_KEY, "until", "key")]
-    turns = [F.struct(_finish(t).alias("finish"), *tie, F.lit(t).alias("turn")) for t in range(repeats)]
-    cut = _cut(queued.where("size > 0").select(F.explode(F.array(*turns)).alias("at"), "size"), budget)
-    if cut is None:
-        taken = F.lit(repeats)
-    else:
-        low, last = cut
-        names = [("no_source", "boolean"), ("source", "string"), ("until", "long"), ("key", "string"), ("turn", "int")]
-        limit = None if last is None else F.struct(F.lit(last["finish"]).alias("finish"), *[F.lit(last[n]).cast(k).alias(n) for n, k in names])
-        taken = sum((F.when(t["finish"] < low if limit is None else t <= limit, 1).otherwise(0) for t in turns), F.lit(0))
-    return F.when(F.col("size") > 0, taken).otherwise(1).cast("long")
+    copies = queued.where("size > 0").select(F.explode(F.array(*_turns(repeats))).alias("at"), "size", "target")
+    ranged = stage(copies.repartitionByRange("at").withColumn("range", F.spark_partition_id()), "copies")
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("words"))  # a row for each range
+    before = F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.sum("size").over(W.partitionBy("range").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    placed = ranged.withColumn("within", within).join(sums, "range")
+    inside = F.col("before") + F.col("within") <= budget
+    ends = placed.groupBy(F.col("at.no_source").alias("no_source"), F.col("at.source").alias("source")).agg(
+        F.max(F.when(inside, F.col("at"))).alias("last"),
+        F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("words"),
+        F.min(F.when(~inside, F.struct("at", "size"))).alias("next"),
+        F.first("target").alias("goal"),
+    )
+    nearer = F.abs(F.col("words") + F.col("next.size") - F.col("goal")) < F.abs(F.col("words") - F.col("goal"))
+    return ends.select(*_KEY, F.when(nearer, F.col("next.at")).otherwise(F.col("last")).alias("last"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:

@@ -127,12 +127,17 @@ queued AS (
     (sum(size) OVER (PARTITION BY s.no_source, s.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS until
   FROM sized s JOIN targets t ON s.no_source = t.no_source AND s.source = t.source),
 copies AS (
-  SELECT doc_id, no_source, source, k, size, until, turn, (turn * source_size + until)::DOUBLE / target AS finish
+  SELECT doc_id, no_source, source, k, size, until, turn, target, (turn * source_size + until)::DOUBLE / target AS finish
   FROM queued, range(3) r(turn) WHERE size > 0 AND target > 0),
+ordered AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, no_source, source, until, k, turn ROWS UNBOUNDED PRECEDING) <= (SELECT sum(size) FROM sized) AS inside FROM copies),
+ends AS (
+  SELECT no_source, source, any_value(target) AS goal, coalesce(sum(size) FILTER (inside), 0) AS words FROM ordered GROUP BY ALL),
+nth AS (
+  SELECT *, row_number() OVER (PARTITION BY no_source, source, inside ORDER BY finish, until, k, turn) AS n FROM ordered JOIN ends USING (no_source, source)),
 cut AS (
-  SELECT doc_id, count(*) AS times FROM (
-    SELECT doc_id, sum(size) OVER (ORDER BY finish, no_source, source, until, k, turn ROWS UNBOUNDED PRECEDING) AS after FROM copies)
-  WHERE after <= (SELECT sum(size) FROM sized) GROUP BY 1)
+  SELECT doc_id, count(*) AS times FROM nth
+  WHERE inside OR (n = 1 AND abs(words + size - goal) < abs(words - goal)) GROUP BY 1)
 SELECT doc_id, size, source_size, target, (coalesce(times, 0) * size)::BIGINT AS taken FROM queued LEFT JOIN cut USING (doc_id)
 """
 
