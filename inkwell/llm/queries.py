@@ -28,9 +28,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the token files of all documents hold, read back from them."""
-    path = fresh_path(spark, "token-files")
+    path = f"{fresh_path(spark, 'token-files')}/ids"
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
-    return token_files.index_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.index_of(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ A masked checksum is the CRC rotated right by 15 bits plus 0xa282ead8, so
 that a checksum over data that holds checksums stays sound. The files are
 written by Spark's own text writer, whose line end is the last byte of a
 frame: they get its commit protocol and go wherever Hadoop paths go. They are
-read back with the binaryFile source.
+read back with the binaryFile source, each as a whole, so their number grows
+with the texts. The offset index lies beside them, in ``PATH.index``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .workers import slices, tidied
 
 _HEAD = struct.Struct("<QI")
 _DOC = struct.Struct("<q?B")
+#: Bytes of text for each file, on the average.
+FILE = 64 << 20
 
 
 def masked(data: bytes) -> int:
@@ -74,13 +77,16 @@ def write_token_files(
     vocabulary: str = "byte_bpe_50k.json",
     end_id: int = 2,
     width: int = 2,
+    file_bytes: int = FILE,
 ) -> None:
-    """Writes the ids of every whole text to files in ascending id order.
+    """Writes the ids of every whole text to files in ascending id order, and
+    their offset index (``index_of``) beside them.
 
     A null text counts as empty and gives the end id alone; a null id sorts
-    first. Rows that repeat an id sort by their texts and give a record each.
-    An empty table gives no records. Texts, not ids, are shuffled; ``width``
-    is 2 bytes for vocabularies below 65,536 ids, else 4.
+    first. Rows that repeat an id sort by the hash of their texts and give a
+    record each. An empty table gives no records. Texts, not ids, are
+    shuffled; ``width`` is 2 bytes for vocabularies below 65,536 ids, else 4.
+    There is a file for each ``file_bytes`` of text at least.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +97,35 @@ def write_token_files(
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = ["id", "h"]
+    files = -(-size // file_bytes)
+    # Up to as many files as the session's shuffles have partitions, the engine balances them itself.
+    enough = files <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(*order) if enough else rows.repartitionByRange(files, *order)
+    ordered = ordered.sortWithinPartitions(*order, "text").select("id", "text")
     ordered.mapInArrow(tidied(encoded), "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    _indexed(docs.sparkSession, path).write.parquet(f"{path}.index")
 
 
-def index_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The offset index, read from the files and written as a table.
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """The offset index of the files, as a table.
 
     One row a record: file, offset, n_bytes, doc_id, start (ids in all records
-    before it), n_tokens, ids_crc32. Every checksum is verified.
+    before it), n_tokens, ids_crc32.
     """
+    return spark.read.parquet(f"{path}.index")
+
+
+def file_number(name: Column) -> Column:
+    """The place of a file among those of one write. Names alone would not
+    sort, as their numbers get longer from the hundred-thousandth file on."""
+    return F.regexp_extract(name, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
+def _indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The index, from the files themselves; every checksum is verified."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "offset", "n_bytes", "doc_id", "local_start", "n_tokens", "ids_crc32"]
@@ -119,9 +144,8 @@ def index_token_files(spark: SparkSession, path: str) -> DataFrame:
         tidied(indexed), "file string, offset long, n_bytes long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     )
     index = stage(found, "token-index")
-    name = F.substring_index("file", "/", -1)
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = F.sum("tokens").over(W.orderBy(name).rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum("tokens").over(W.orderBy(file_number(F.col("file"))).rowsBetween(W.unboundedPreceding, -1))
     starts = totals.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     return index.join(starts, "file").select(
         "file", "offset", "n_bytes", "doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"

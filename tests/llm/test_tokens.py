@@ -64,7 +64,7 @@ def test_forgetting_changes_nothing(documents, known):
 def test_token_files_round_trip(spark, request, table, tmp_path, plain):
     df, path = request.getfixturevalue(table), f"file://{tmp_path}/tokens"
     token_files.write_token_files(df, path)
-    index = token_files.index_token_files(spark, path)
+    index = token_files.index_of(spark, path)
     data = sorted(df.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
     start, want = 0, []
     for r in data:
@@ -90,7 +90,24 @@ def test_damage_is_found():
 
 def test_empty_token_files(spark, none, tmp_path):
     token_files.write_token_files(none, f"file://{tmp_path}/none")
-    assert token_files.index_token_files(spark, f"file://{tmp_path}/none").count() == 0
+    assert token_files.index_of(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_many_small_files(spark, documents, tmp_path):
+    one, many = f"file://{tmp_path}/one", f"file://{tmp_path}/many"
+    token_files.write_token_files(documents, one)
+    token_files.write_token_files(documents, many, file_bytes=20_000)
+    index = [token_files.index_of(spark, p) for p in (one, many)]
+    files = [x.select("file").distinct().count() for x in index]
+    assert files[1] > 12 > files[0]
+    a, b = (x.select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect() for x in index)
+    assert a == b and [r["doc_id"] for r in a] == sorted(r["doc_id"] for r in a)
+
+
+def test_file_numbers_sort_as_numbers(spark):
+    names = ["x/part-99999-a.txt", "x/part-100000-a.txt", "x/part-00002-a-c000.txt"]
+    found = spark.createDataFrame([(n,) for n in names], "file string").orderBy(token_files.file_number(F.col("file")))
+    assert [r["file"] for r in found.collect()] == [names[2], names[0], names[1]]
 
 
 @pytest.mark.parametrize("histogram", [{}, {1: 5}, {1024: 3, 1: 1}, {600: 10, 424: 7, 300: 4, 1: 3}, {i: i % 7 + 1 for i in range(1, 1025)}])
