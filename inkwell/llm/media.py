@@ -2,10 +2,12 @@
 
 An image is described at its strongest corners on a pyramid of scales. Each
 corner's patch is turned to its intensity centroid and described by 256
-comparisons of smoothed pixels. Descriptors meet in four tables by 64 of
-their bits each, which finds all pairs within three differing bits and more
-beyond; pairs are verified on all bits, and images match if enough of their
-pairs agree on one rotation, scale and shift.
+comparisons of smoothed pixels. Descriptors meet in eight tables by 32 of
+their bits each, which finds all pairs within seven differing bits and, of
+those that differ in d bits, about 1 - (1 - (7/8)**d)**8; pairs are verified on all bits, and
+images match if enough of their pairs agree on one rotation, scale and shift.
+The number of corners is a limit on recall: it grows with an image's area,
+but an image that shows a small part of another shares few of them.
 
 Equal images are one class: they are described once and compared once.
 """
@@ -26,24 +28,35 @@ from .staging import stage
 from .workers import tidied
 
 SCALES = (1.0, 0.75, 0.5)
-CORNERS = (16, 10, 6)
+#: Corners of each scale for every 96 x 96 pixels.
+CORNERS, TILE = (16, 10, 6), 96 * 96
+#: Tables in which descriptors meet, and the parts of a key's rows.
+TABLES, SALTS = 8, 8
 TURNS = 24
 _RADIUS, _BORDER, _STEP = 9, 13, 3.0
+#: Pixels that an image may have; what claims more is not decoded.
+PIXELS = 1 << 24
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
     """Grey values of a binary PGM or PPM, or of an 8-bit PNG without
-    interlacing; None for anything else, damaged files included."""
+    interlacing; None for anything else: damaged files, images without pixels,
+    and those of more than ``PIXELS``, however small their file."""
     try:
         if data and data[:2] in (b"P5", b"P6"):
             return _netpbm(data)
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
-    except (ValueError, IndexError, struct.error, zlib.error):
+    except (ValueError, IndexError, OverflowError, struct.error, zlib.error):
         pass
     return None
 
 
+def _sized(width: int, height: int) -> None:
+    if not 0 < width * height <= PIXELS:
+        raise ValueError("no pixels, or too many")
+
+
 def _grey(pixels: np.ndarray) -> np.ndarray:
     if pixels.shape[2] < 3:
         return pixels[:, :, 0].astype("f4")
@@ -59,13 +72,14 @@ def _netpbm(data: bytes) -> np.ndarray:
             at = data.index(b"\n", at)
             continue
         end = at
-        while data[end : end + 1].isdigit():
+        while data[end : end + 1].isdigit() and end < at + 12:
             end += 1
         fields.append(int(data[at:end]))
         at = end
     width, height, most = fields
     if most > 255:
         raise ValueError("only 8 bits")
+    _sized(width, height)
     depth = 3 if data[:2] == b"P6" else 1
     return _grey(np.frombuffer(data, "u1", width * height * depth, at + 1).reshape(height, width, depth))
 
@@ -83,7 +97,10 @@ def _png(data: bytes) -> np.ndarray:
     depth = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if bits != 8 or depth is None or interlaced:
         raise ValueError("unsupported PNG")
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), "u1").reshape(height, width * depth + 1)
+    _sized(width, height)
+    size = height * (width * depth + 1)
+    raw = zlib.decompressobj().decompress(b"".join(body), size)  # no more than the image holds
+    rows = np.frombuffer(raw, "u1", size).reshape(height, width * depth + 1)
     out = np.zeros((height + 1, width * depth + depth), "i4")  # a row and a pixel of zeros before the first
     for y, row in enumerate(rows):
         kind, line, up, now = row[0], row[1:].astype("i4"), out[y], out[y + 1]
@@ -164,7 +181,7 @@ def describe(image: np.ndarray | None) -> np.ndarray:
         inner = np.zeros(layer.shape, bool)
         inner[_BORDER:-_BORDER, _BORDER:-_BORDER] = True
         ys, xs = np.nonzero((corner == peak) & inner & (corner > 1.0))
-        best = np.argsort(-corner[ys, xs], kind="stable")[:most]
+        best = np.argsort(-corner[ys, xs], kind="stable")[: most * -(-image.size // TILE)]
         ys, xs = ys[best], xs[best]
         if not len(ys):
             continue
@@ -223,9 +240,10 @@ def _points(classes: DataFrame) -> DataFrame:
             words = bits.view("<i8")
             scale = np.array(SCALES)[rows["level"]] if len(rows) else np.zeros(0)
             columns = [owner, nth, rows["x"].astype("f8"), rows["y"].astype("f8"), 1 / scale, rows["turn"].astype("i8"), *(words[:, k] for k in range(4))]
-            for table in range(4):
+            keys = bits.view("<i4").astype("i8")
+            for table in range(TABLES):
                 arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
-                more = [pa.array(np.full(len(rows), table, "i8")), pa.array(np.ascontiguousarray(words[:, table]))]
+                more = [pa.array(np.full(len(rows), table, "i8")), pa.array(np.ascontiguousarray(keys[:, table]))]
                 yield pa.RecordBatch.from_arrays([*arrays, *more], names)
 
     names = ["class", "n", "x", "y", "size", "turn", "w0", "w1", "w2", "w3", "table", "key"]
@@ -240,7 +258,7 @@ def find_copies(
     id_col: str = "media_id",
     media_col: str = "media",
     differing: int = 32,
-    cell: float = 8.0,
+    cell: float = 12.0,
     agreeing: int = 4,
 ) -> DataFrame:
     """Members and links of image classes: kind, id, class_id, agreeing.
@@ -266,17 +284,21 @@ def find_copies(
     for c in ("class", "n", "x", "y", "size", "turn", "w0", "w1", "w2", "w3"):
         q, m = q.withColumnRenamed(c, f"q_{c}"), m.withColumnRenamed(c, f"m_{c}")
     apart = sum(F.bit_count(F.col(f"q_w{k}").bitwiseXOR(F.col(f"m_w{k}"))) for k in range(4))
-    pairs = q.join(m, ["table", "key"]).where(apart <= differing)
+    # A key that very many images share is met in parts.
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = m.withColumn("salt", F.pmod(F.xxhash64("m_class"), F.lit(SALTS)).cast("int"))
+    pairs = q.join(m, ["table", "key", "salt"]).where(apart <= differing)
     # Placement of the query in the media image: turned, scaled, then shifted.
     turn = F.pmod(F.col("m_turn") - F.col("q_turn"), F.lit(TURNS))
     angle = turn * (2 * np.pi / TURNS)
     ratio = F.col("m_size") / F.col("q_size")
     left = F.col("m_x") - ratio * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))
     top = F.col("m_y") - ratio * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))
-    shifts = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (0.0, 0.5) for b in (0.0, 0.5)])
+    # Each vote counts in cells that overlap by half, for its own turn and the next one.
+    shifts = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dt")) for a in (0.0, 0.5) for b in (0.0, 0.5) for c in (0, 1)])
     placed = pairs.select("q_class", "m_class", "q_n", "m_n", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), left.alias("left"), top.alias("top"), F.explode(shifts).alias("s"))
     cells = placed.groupBy(
-        "q_class", "m_class", "turn", "ratio", "s",
+        "q_class", "m_class", F.pmod(F.col("turn") + F.col("s.dt"), F.lit(TURNS)).alias("turn"), "ratio", "s",
         F.floor(F.col("left") / cell + F.col("s.dx")).alias("column"), F.floor(F.col("top") / cell + F.col("s.dy")).alias("row"),
     ).agg(F.least(F.count_distinct("q_n"), F.count_distinct("m_n")).alias("agreeing"))
     links = cells.where(F.col("agreeing") >= agreeing).groupBy("q_class", "m_class").agg(F.max("agreeing").alias("agreeing"))

@@ -45,6 +45,28 @@ def edited(image: np.ndarray, way: int, seed: int) -> np.ndarray:
     return (out + np.random.default_rng(seed).normal(0, 1, out.shape)).clip(0, 255)
 
 
+def resized(image: np.ndarray, factor: float) -> np.ndarray:
+    """Larger or smaller by a factor, by bilinear weights."""
+    return placed(image, tuple(int(n * factor) for n in image.shape), np.eye(2) / factor)
+
+
+def turned(image: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned about its centre, with the edge repeated where it lacks pixels."""
+    a = np.deg2rad(degrees)
+    return placed(image, image.shape, np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]))
+
+
+def placed(image: np.ndarray, shape: tuple[int, int], turn: np.ndarray) -> np.ndarray:
+    """An image of a shape whose pixels come from where ``turn`` takes them,
+    seen from the centres."""
+    at = np.stack(np.mgrid[: shape[0], : shape[1]], -1) - (np.array(shape) - 1) / 2
+    at = (at @ turn.T + (np.array(image.shape) - 1) / 2).clip(0, np.array(image.shape) - 1)
+    low = np.minimum(at.astype(int), np.array(image.shape) - 2)
+    (y, x), (fy, fx) = np.moveaxis(low, -1, 0), np.moveaxis(at - low, -1, 0)
+    top = image[y, x] * (1 - fx) + image[y, x + 1] * fx
+    return top * (1 - fy) + (image[y + 1, x] * (1 - fx) + image[y + 1, x + 1] * fx) * fy
+
+
 def pgm(image: np.ndarray) -> bytes:
     whole = np.rint(image).astype("u1")
     return b"P5 %d %d 255\n" % whole.shape[::-1] + whole.tobytes()

@@ -37,6 +37,25 @@ def test_formats():
     assert np.array_equal(media.decode(b"P5\n# note\n2 1\n255\n\x05\x06"), [[5, 6]])
     for broken in (None, b"", b"P5 9 9 255\n", b"GIF89a", b"P5", b"\x89PNG\r\n\x1a\n", png(grey, [0])[:-30]):
         assert media.decode(broken) is None
+    for head in (b"P5 0 5 255\n", b"P5 5 0 255\n", b"P6 0 0 255\n", b"P5 99999999999 99999999999 255\n", b"P5 %s 1 255\n" % (b"9" * 5000), b"P5 60000 60000 255\n\x01"):
+        assert media.decode(head) is None
+    bomb = struct.pack(">IIBBBBB", 9, 9, 8, 0, 0, 0, 0)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"0000"
+    big = chunk(b"IDAT", zlib.compress(bytes(50_000_000)))
+    assert media.decode(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bomb) + big).shape == (9, 9)
+    huge = struct.pack(">IIBBBBB", 1 << 30, 1 << 30, 8, 0, 0, 0, 0)
+    assert media.decode(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", huge) + big) is None
+
+
+def test_resized_and_turned_copies(spark):
+    df = vectors(spark, 30)
+    kept = {r["media_id"]: media.decode(bytes(r["media"])) for r in pictures.images(df).collect()}
+    ways = {"smaller": lambda x: pictures.resized(x, 0.9), "larger": lambda x: pictures.resized(x, 1.15), "turned": lambda x: pictures.turned(x, 10), "cropped": lambda x: x[20:-12, 16:-16]}
+    data = [(100 * k + i, pictures.pgm(way(x))) for k, way in enumerate(ways.values()) for i, x in kept.items()]
+    found = media.find_copies(spark.createDataFrame(data, "media_id long, media binary"), pictures.images(df)).where("kind = 'link'").collect()
+    assert all(r["id"] % 100 == r["class_id"] for r in found)
+    right = {name: sum(r["id"] // 100 == k for r in found) for k, name in enumerate(ways)}
+    assert all(right[name] >= least for name, least in {"smaller": 18, "larger": 15, "turned": 10, "cropped": 25}.items()), right
 
 
 def vectors(spark, n=60):
@@ -69,8 +88,8 @@ def test_table_recall_against_brute_force(spark, sf):
             votes = {}
             for dx in (0, 0.5):
                 for dy in (0, 0.5):
-                    for k in range(len(i)):
-                        spot = (turn[k], round(ratio[k], 3), dx, dy, np.floor(left[k] / 8 + dx), np.floor(top[k] / 8 + dy))
+                    for k, dt in ((k, dt) for k in range(len(i)) for dt in (0, 1)):
+                        spot = ((turn[k] + dt) % media.TURNS, dt, round(ratio[k], 3), dx, dy, np.floor(left[k] / 12 + dx), np.floor(top[k] / 12 + dy))
                         votes.setdefault(spot, []).append((i[k], j[k]))
             if any(min(len({x for x, _ in v}), len({y for _, y in v})) >= 4 for v in votes.values()):
                 want.add((q, m))
