@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 from .staging import drop_staged, stage
 
 
+#: Parts into which the neighbours of a node are dealt where they are joined.
+SALTS = 8
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, salt, m): the least neighbour of each u, a row for each part of its
+    neighbours that there is. The neighbours of a node that very many share
+    so come together in several tasks, and combine before they are shuffled.
+    """
+    parts = edges.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("salt").alias("salts"))
+    return parts.select("u", "m", F.explode("salts").alias("salt"))
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Links each u's larger neighbours, and u itself where it is one of its
     smaller ones, to the least node that u knows."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _dealt(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = _least(both).select("u", "salt", F.least("u", "m").alias("m"))
+    return both.join(least, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    moved = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = _dealt(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    least = _least(down)
+    moved = down.join(least, ["u", "salt"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -7,7 +7,12 @@ most the Hamming distance of the fingerprints, so fingerprints within
 segments in ``bits + z`` blocks, at least ``z`` blocks then agree in all
 counts: each choice of ``z`` blocks is one table of grid cells, and a cell is
 joined over the range of the remaining bits' count, which may differ by
-``bits`` at most. What is left is verified on the fingerprints themselves.
+``bits`` at most, and by the Manhattan distance of all counts. What is left
+is verified on the fingerprints themselves.
+
+A cell that very many fingerprints share is not compared pair by pair:
+fingerprints within ``bits`` of each other have a point in common that is
+within half of that of either, so they meet at the points around them.
 """
 
 from __future__ import annotations
@@ -21,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .skew import SALTS, with_totals
 from .staging import stage
 from .workers import tidied
 
 _PAIRS = 0x5555555555555555
+#: Fingerprints of a cell that are compared pair by pair.
+CELL = 4096
 
 
 def _signed(x: int) -> int:
@@ -81,6 +89,13 @@ def _blocks(n: int, bits: int) -> list[int]:
     return [sum(some) for some in combinations(masks, g - bits)]
 
 
+def _counts_in_unary(fp: np.ndarray) -> np.ndarray:
+    """Each two-bit segment's count as so many set bits: the bits that differ
+    between two of these are the Manhattan distance of the counts."""
+    both, low = np.uint64(_PAIRS), fp >> np.uint64(1)
+    return ((fp | low) & both) | ((fp & low & both) << np.uint64(1))
+
+
 def _linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Links within cells, from rows sorted by cell and the rest's bit count.
 
@@ -95,7 +110,8 @@ def _linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
         rows, old = np.concatenate([kept, new]), len(kept)
         cell = np.concatenate([[0], np.cumsum((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0))])
-        rest, fp = rows[:, 2], rows[:, 3].view("u8")
+        rest, fp = rows[:, 2], np.ascontiguousarray(rows[:, 3]).view("u8")
+        place = _counts_in_unary(fp)
         root = np.arange(len(rows))
         out: list[tuple[int, int]] = []
 
@@ -112,8 +128,9 @@ def _linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             active, other = active[near], other[near]
             fresh = other >= old
             a, b = active[fresh], other[fresh]
-            close = np.bitwise_count(fp[a] ^ fp[b]) <= bits
-            a, b = a[close], b[close]
+            for grid in (place, fp):
+                close = np.bitwise_count(grid[a] ^ grid[b]) <= bits
+                a, b = a[close], b[close]
             if len(a):
                 apart = root[a] != root[b]
                 joined = False
@@ -152,8 +169,44 @@ def links(distinct: DataFrame, n: int, bits: int) -> DataFrame:
         F.bit_count(fp.bitwiseAND(F.col("t.others"))).cast("long").alias("rest"),
         "fp",
     )
-    dealt = placed.repartition("table", "cell").sortWithinPartitions("table", "cell", "rest", "fp")
-    return dealt.mapInArrow(tidied(lambda batches: _linked(batches, bits)), "u long, v long")
+    placed = stage(placed, "cells")
+    # At most so many rows as the fingerprints' number over a cell's, so that the join below may broadcast them or not.
+    hot = placed.groupBy("table", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("table", "cell")
+    dealt = placed.join(hot, ["table", "cell"], "left_anti").repartition("table", "cell").sortWithinPartitions("table", "cell", "rest", "fp")
+    out = dealt.mapInArrow(tidied(lambda batches: _linked(batches, bits)), "u long, v long")
+    crowded = placed.join(hot, ["table", "cell"], "left_semi").select("fp").distinct()
+    return out if crowded.isEmpty() else out.unionByName(_met_around(crowded, bits))
+
+
+def _around(radius: int) -> list[int]:
+    return [sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(64), n)]
+
+
+def _met_around(fps: DataFrame, bits: int) -> DataFrame:
+    """Edges that connect all of these fingerprints within ``bits`` bits.
+
+    Of two such fingerprints one is within half of ``bits``, rounded up, and
+    the other within half of it, rounded down, of some point. Every point
+    links all that it is near to the least of the nearer ones, which is
+    within ``bits`` of each of them. The rows grow in proportion to the
+    fingerprints, and combine by point before they are shuffled.
+    """
+    near, far = bits // 2, bits - bits // 2
+    masks = np.array(_around(far), "u8").view("i8")
+    inner = len(_around(near))
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                fp = batch.column(0).slice(i, 64).to_numpy()
+                at = (fp[:, None] ^ masks).ravel()
+                inside = np.tile(np.arange(len(masks)) < inner, len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(fp, len(masks))), pa.array(inside)], ["at", "fp", "inside"])
+
+    met = fps.mapInArrow(tidied(points), "at long, fp long, inside boolean")
+    least = met.groupBy("at").agg(F.min(F.when(F.col("inside"), F.col("fp"))).alias("v"), F.count(F.lit(1)).alias("n"))
+    least = least.where("v IS NOT NULL AND n > 1").select("at", "v")
+    return met.join(least, "at").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(
@@ -178,14 +231,15 @@ def near_duplicates(
 def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int = 4, bits: int = 4) -> DataFrame:
     """(id, text_key, fp, root, component_id) of every document."""
     prints = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = stage(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = components(links(classes.select("fp"), classes.count(), bits))
-    member = classes.join(found, classes["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = member.select("fp", "root").join(roots, "root").select("fp", "root", "component_id")
-    return prints.join(labels, "fp")
+    fps = stage(prints.select("fp").distinct(), "classes")
+    found = components(links(fps, fps.count(), bits))
+    found = fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    # Documents that share a fingerprint get its root, in parts like all that share a key.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    held = prints.groupBy("fp").agg(F.collect_set(salt).alias("salts")).select("fp", F.explode("salts").alias("salt"))
+    labels = found.join(held, "fp")
+    rooted = prints.withColumn("salt", salt).join(labels, ["fp", "salt"]).select("id", "text_key", "fp", "root")
+    return with_totals(rooted, ["root"], [F.min("id").alias("component_id")], "fp")
 
 
 def keep_one(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -199,8 +253,7 @@ def keep_one(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -
     unknown = F.col("id").isNull()
     rank = F.struct(unknown.alias("unknown"), "id", "text_key")
     sets = labelled.groupBy("component", "id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    best = sets.groupBy("component").agg(F.min(rank).alias("best"))
-    ranked = sets.join(best, "component").select("id", "text_key", "n", (rank == F.col("best")).alias("wins"))
+    ranked = with_totals(sets, ["component"], [F.min(rank).alias("best")], "text_key").select("id", "text_key", "n", (rank == F.col("best")).alias("wins"))
     losing = ranked.where("n > 1 OR NOT wins").select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
     many = ranked.where("n > 1 AND wins").select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
 

@@ -49,10 +49,12 @@ def test_fingerprints(documents, hard):
             assert simhash.fingerprint(r["text"]) == slow_print(r["text"])
 
 
-@pytest.mark.parametrize("bits", [1, 4])
-@pytest.mark.parametrize("n", [10, 10**7])
-def test_components_agree_with_brute_force(spark, bits, n, monkeypatch):
-    """Chains of fingerprints that differ by a few bits, for several grids."""
+@pytest.mark.parametrize("bits", [1, 3, 4])
+@pytest.mark.parametrize(("n", "cell"), [(10, 4096), (10**7, 4096), (10, 3)])
+def test_components_agree_with_brute_force(spark, bits, n, cell, monkeypatch):
+    """Chains of fingerprints that differ by a few bits, for several grids,
+    and with cells that count as crowded."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = np.random.default_rng(3)
     values = [int(rng.integers(0, 2**64, dtype="u8"))]
     for _ in range(700):
