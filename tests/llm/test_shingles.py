@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from inkwell.llm import shingles, simhash
 
@@ -34,9 +35,10 @@ def edited(rng, words, share):
     return [f"e{rng.integers(10**6)}" if rng.random() < share else w for w in words]
 
 
-def test_near_copies_against_brute_force(spark, sf, monkeypatch):
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_copies_against_brute_force(spark, sf, monkeypatch, block):
     """Copies about the threshold, in groups of more than one block."""
-    monkeypatch.setattr(shingles, "BLOCK", 8)
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = np.random.default_rng(4)
     docs = []
     for _ in range(40):
