@@ -70,7 +70,7 @@ def test_stages_on_hard_rows(spark, sf, hard, none):
     assert said(steps["quality"](spark, hard, sf)) == said(hard)
     once = steps["exact_dedup"](spark, hard, sf)
     same, long = "one two three four five", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 "
-    rest = [(4, " \t\n\x0b "), (5, long), (7, "Größe \u3000ok 𝔘nicode   x"), (8, "<|im_start|> </s> [INST] \x00 en"[:30]), (None, same + " six"), (-5, "one  " + same[4:])]
+    rest = [(4, " \t\n\x0b "), (5, long), (7, "Größe\xa0\u3000ok 𝔘nicode \u2028 x"), (8, "<|im_start|> </s> [INST] \x00 en"[:30]), (None, same + " six"), (-5, "one  " + same[4:])]
     assert said(once) == sorted([*[(d, t[:30]) for d, t in rest], (6, same), (3, "")], key=str)
     near = steps["simhash_dedup"](spark, once, sf)
     # (6, ...) is (-5, ...) but for white space, and (4, ...) has no words like (3, "").
