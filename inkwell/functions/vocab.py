@@ -42,7 +42,6 @@ HINTS: dict[str, tuple[str, ...]] = {
 }
 #: Marks of a source in a profile.
 PROFILE_MARKS = ("知轩藏书", "zxcs", "www.zxcs", "精校小说下载", "更多精校小说")
-EDITIONS = ("校对版", "精校版", "实体版")
 
 # End of the fixed values.
 

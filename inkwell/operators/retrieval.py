@@ -45,7 +45,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, *, vector: str = "embe
     Queries are taken in blocks of at most ``block`` rows, each a matrix that
     every task holds; a task keeps the k best of its rows for each query, and
     a window merges them. The corpus is read once a block and never
-    shuffled. Scores are rounded to nine places; ties go by key.
+    shuffled. Scores are rounded to nine places; ties go by key. Vectors that
+    are null have no score; those of another size than the queries', or with
+    numbers that are not finite, are an error.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -53,7 +55,11 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, *, vector: str = "embe
     out = None
     for part in _blocks(vectors, block):
         ids = np.array([r["q"] for r in part])
+        if len({len(r["v"]) for r in part}) > 1:
+            raise ValueError("query vectors differ in size")
         matrix = np.array([r["v"] for r in part], "f8")
+        if not matrix.size or not np.isfinite(matrix).all():
+            raise ValueError("query vectors must be finite and not empty")
         found = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(
             _best(ids, matrix, k), "q long, id long, score double"
         )
@@ -74,18 +80,26 @@ def _blocks(vectors: DataFrame, block: int) -> Iterator[list]:
         yield held
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _best(ids: np.ndarray, matrix: np.ndarray, k: int, held: int = 1 << 21):
+    """The ``k`` best rows of a task for each query. Rows are scored in slices
+    of about ``held`` scores, so that a task's memory does not grow with a
+    batch or with the number of queries."""
+    step = max(1, held // max(len(ids), 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_id = np.zeros((len(ids), 0), "i8")
         best = np.zeros((len(ids), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(1)
-            rows = np.asarray(column.flatten()).reshape(batch.num_rows, -1).astype("f8")
+        for part in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            column = part.column(1)
+            sizes = np.diff(column.offsets.to_numpy())
+            if (sizes != matrix.shape[1]).any():
+                raise ValueError(f"vectors of {sizes[sizes != matrix.shape[1]][0]} numbers, queries of {matrix.shape[1]}")
+            rows = np.asarray(column.flatten(), "f8").reshape(part.num_rows, -1)
+            if not np.isfinite(rows).all():
+                raise ValueError("vectors must be finite")
             # Rounded, so that equal vectors tie wherever they stand in a block.
             scores = np.concatenate([best, np.round(matrix @ rows.T, 9)], axis=1)
-            keys = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
+            keys = np.concatenate([best_id, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], axis=1)
             order = np.lexsort((keys, -scores), axis=1)[:, :k]
             best, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
         n = best.shape[1]

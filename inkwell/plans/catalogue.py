@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, dataset_queries, ranking_queries
+from . import corpus_queries, dataset_queries, ranking_queries, text_queries
 
-_PARTS = (corpus_queries.CATALOGUE, ranking_queries.CATALOGUE, dataset_queries.CATALOGUE)
+_PARTS = (corpus_queries.CATALOGUE, ranking_queries.CATALOGUE, dataset_queries.CATALOGUE, text_queries.CATALOGUE)
 FLAGSHIP = "multi_query_merge"
 
 

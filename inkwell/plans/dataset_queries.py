@@ -126,8 +126,8 @@ def group_advantage(t: Tables) -> DataFrame:
     return datasets.advantages(_paid(t), group="query_id").select("query_id", "novel_id", F.round("advantage", 6).alias("advantage"))
 
 
-@CATALOGUE.add("""WITH r AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text)) AS i, count(*) OVER () AS total FROM conversations WHERE text IS NOT NULL)
-SELECT min(n) FILTER (i >= 0.5 * total)::INT AS median, min(n) FILTER (i >= 0.95 * total)::INT AS p95, max(n)::INT AS max FROM r""")
+@CATALOGUE.add("""WITH r AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS total FROM conversations WHERE text IS NOT NULL)
+SELECT min(n) FILTER (i = total // 2)::INT AS median, min(n) FILTER (i = floor(0.95::DOUBLE * total))::INT AS p95, max(n)::INT AS max FROM r""")
 def length_stats(t: Tables) -> DataFrame:
     """Lengths of the conversations' turns."""
     return datasets.length_stats(t("conversations").select(F.length("text").alias("n")), "n")

@@ -13,6 +13,10 @@ from ..operators import logs, profiles
 from ..protocols import Completer, complete
 
 
+#: Tokens of a prompt and of an answer that the estimate takes for each verdict.
+ESTIMATE = (2500, 150)
+
+
 class BudgetExceeded(RuntimeError):
     """The estimate for what the cache lacks is above the cap."""
 
@@ -35,37 +39,70 @@ def tasks(results: DataFrame, queries: DataFrame, texts: DataFrame, *, pinned: D
     return rows.withColumn("prompt", prompts.judge(F.col("query"), F.col("wanted"), F.col("unwanted"), F.col("title_guess"), F.col("evidence")))
 
 
-def judge(rows: DataFrame, cache: DataFrame, load: Callable[[], Completer], *, price_in: float, price_out: float, cap: float, model: str = "") -> DataFrame:
-    """Adds status, judge_relevance_label, judge_constraint_violation and
-    judge_confidence to ``tasks``.
+def preflight(pending: DataFrame, each: float, cap: float) -> float:
+    """The estimate for all pending pairs; BudgetExceeded if the cap does not
+    cover it."""
+    found = logs.affordable(pending, each, cap).first()
+    if found["items"] and not found["affordable"]:
+        raise BudgetExceeded(f"{found['items']} verdicts cost about {found['estimate']:.4f}, {cap:.4f} are left; judge fewer pairs, or raise the cap")
+    return found["estimate"]
+
+
+def judge(
+    rows: DataFrame, cache: DataFrame, load: Callable[[], Completer], *, price_in: float, price_out: float, cap: float,
+    model: str = "", spent: float = 0.0, waves: int = 1, folder: str | None = None,
+) -> DataFrame:
+    """Adds status, cost, judge_relevance_label, judge_constraint_violation
+    and judge_confidence to ``tasks``.
 
     ``status`` is cached, judged, failed (the request died), unparsed or
     skipped (over budget); only the first two have labels, and the last three
-    never count as 0. Pairs are asked in the order of their keys while the
-    estimate of those before is below the cap. Raises BudgetExceeded if the
-    cap does not even cover the first.
-    """
+    never count as 0. Raises BudgetExceeded before any request if the estimate
+    for all pairs that the cache lacks is above what ``spent`` leaves of the
+    cap. ``cost`` is that of the tokens that a completer reports, whether its
+    answer can be read or not, and the estimate where it reports none; failed
+    requests cost nothing.
+
+    Pairs are dealt into ``waves`` by the hash of their prompt, which are
+    asked one after the other and written to ``folder``; once the cost of
+    those before reaches the cap, the rest is skipped. One wave needs no
+    folder and is asked when the result is.
+    """
     keyed = rows.withColumn("cache_key", decide.cache_key(prompt_hash=F.sha2("prompt", 256), model=F.lit(model)))
     known = logs.latest(cache.select("cache_key", "seq", "response"), ["cache_key"]).select("cache_key", F.col("response").alias("known"))
     joined = keyed.join(known, "cache_key", "left")
-    each = (2500 * price_in + 150 * price_out) / 1e6
-    if each > cap:
-        raise BudgetExceeded(f"one verdict costs about {each:.4f}, the cap is {cap:.4f}")
-    hit = joined.where("known IS NOT NULL").withColumns({"response": F.col("known"), "status": F.lit("cached")})
-    open_ = logs.within_budget(joined.where("known IS NULL"), F.lit(each), cap, "query_id", "novel_id")
-    asked = complete(open_.where("NOT skipped").drop("spent_before", "skipped"), load).withColumn("status", F.when(F.col("response").isNull(), "failed").otherwise("judged"))
-    skipped = open_.where("skipped").drop("spent_before", "skipped").withColumns({"response": F.lit(None).cast("string"), "status": F.lit("skipped")})
-    every = hit.unionByName(asked).unionByName(skipped).withColumn("j", parse_judge(F.col("response")))
+    each = (ESTIMATE[0] * price_in + ESTIMATE[1] * price_out) / 1e6
+    pending = joined.where("known IS NULL")
+    preflight(pending, each, cap - spent)
+    none = {"prompt_tokens": F.lit(None).cast("long"), "completion_tokens": F.lit(None).cast("long")}
+    every = joined.where("known IS NOT NULL").withColumns({"response": F.col("known"), "status": F.lit("cached"), "cost": F.lit(0.0), **none})
+    metered = F.when(F.col("prompt_tokens").isNotNull(), logs.usage_cost(F.col("prompt_tokens"), F.coalesce("completion_tokens", F.lit(0)), price_in, price_out))
+    for n in range(waves):
+        some = pending.where(F.pmod(F.xxhash64("cache_key"), F.lit(waves)) == n)
+        if spent >= cap:
+            every = every.unionByName(some.withColumns({"response": F.lit(None).cast("string"), "status": F.lit("skipped"), "cost": F.lit(0.0), **none}))
+            continue
+        asked = complete(some, load, usage=True).withColumn("status", F.when(F.col("response").isNull(), "failed").otherwise("judged"))
+        asked = asked.withColumn("cost", F.coalesce(metered, F.when(F.col("status") == "judged", F.lit(each)), F.lit(0.0)))
+        if waves > 1:
+            if folder is None:
+                raise ValueError("several waves need a folder")
+            asked.write.parquet(f"{folder}/wave-{n}")
+            asked = rows.sparkSession.read.schema(asked.schema).parquet(f"{folder}/wave-{n}")
+            spent += asked.agg(F.sum("cost")).first()[0] or 0.0
+        every = every.unionByName(asked)
+    every = every.withColumn("j", parse_judge(F.col("response")))
     lost = F.col("status").isin("judged", "cached") & F.col("j.label").isNull()
     return every.select(
-        *rows.columns, "cache_key", "response", F.when(lost, "unparsed").otherwise(F.col("status")).alias("status"),
+        *rows.columns, "cache_key", "response", F.when(lost, "unparsed").otherwise(F.col("status")).alias("status"), "prompt_tokens", "completion_tokens", "cost",
         F.col("j.label").alias("judge_relevance_label"), F.col("j.violation").alias("judge_constraint_violation"), F.col("j.confidence").alias("judge_confidence"),
     )
 
 
 def summary(judged: DataFrame) -> DataFrame:
-    """How many pairs ended in each way."""
-    return judged.groupBy("status").agg(F.count(F.lit(1)).alias("pairs"))
+    """How many pairs ended in each way, with their tokens and cost."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return judged.groupBy("status").agg(F.count(F.lit(1)).alias("pairs"), total("prompt_tokens"), total("completion_tokens"), total("cost"))
 
 
 def attach(results: DataFrame, judged: DataFrame) -> DataFrame:

@@ -23,9 +23,10 @@ class Encoder(Protocol):
 
 
 class Completer(Protocol):
-    """Answers prompts; None for a request that failed for good."""
+    """Answers prompts; None for a request that failed for good. An answer is
+    its text, or a tuple of that and the tokens of the prompt and of the answer."""
 
-    def __call__(self, prompt: str) -> str | None: ...
+    def __call__(self, prompt: str) -> str | tuple[str | None, int, int] | None: ...
 
 
 def embed(rows: DataFrame, load: Callable[[], Encoder], *, text_col: str, role: str, batch: int = 256) -> DataFrame:
@@ -48,25 +49,29 @@ def embed(rows: DataFrame, load: Callable[[], Encoder], *, text_col: str, role:
     return raw.withColumn("embedding", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)))
 
 
-def complete(rows: DataFrame, load: Callable[[], Completer], *, prompt_col: str = "prompt", threads: int = 8, retries: int = 2) -> DataFrame:
+def complete(rows: DataFrame, load: Callable[[], Completer], *, prompt_col: str = "prompt", threads: int = 8, retries: int = 2, usage: bool = False) -> DataFrame:
     """Adds ``response``: the answers to the prompts, ``threads`` at a time in
-    each partition. A request that keeps failing has a null answer, and never
-    fails the others."""
-    out = StructType([*rows.schema.fields]).add("response", "string")
+    each partition. With ``usage`` also ``prompt_tokens`` and
+    ``completion_tokens``, null where the completer reports none. A request that keeps failing
+    has a null answer, and never fails the others."""
+    out = StructType([*rows.schema.fields]).add("response", "string").add("prompt_tokens", "long").add("completion_tokens", "long")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = load()
 
-        def ask(prompt: str) -> str | None:
+        def ask(prompt: str) -> tuple[str | None, int | None, int | None]:
             for _ in range(retries + 1):
                 try:
-                    return completer(prompt)
+                    said = completer(prompt)
+                    return said if isinstance(said, tuple) else (said, None, None)
                 except Exception:  # noqa: BLE001  a dead request is an answer that is missing
                     continue
-            return None
+            return None, None, None
 
         with ThreadPoolExecutor(threads) as pool:
             for frame in frames:
-                yield frame.assign(response=list(pool.map(ask, frame[prompt_col])))
+                told = pd.DataFrame(list(pool.map(ask, frame[prompt_col])), index=frame.index, columns=["response", "prompt_tokens", "completion_tokens"], dtype=object)
+                yield frame.assign(**{c: told[c] for c in told.columns}).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
-    return rows.mapInPandas(run, out)
+    told = rows.mapInPandas(run, out)
+    return told if usage else told.drop("prompt_tokens", "completion_tokens")

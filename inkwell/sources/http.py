@@ -55,14 +55,15 @@ def _send(endpoint: Endpoint, prompt: str) -> Mapping:
         return json.load(answer)
 
 
-def completer(endpoint: Endpoint, send: Callable[[Endpoint, str], Mapping] = _send, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
-    """Answers a prompt; None once the attempts are used up, or at once for a
+def completer(endpoint: Endpoint, send: Callable[[Endpoint, str], Mapping] = _send, sleep: Callable[[float], None] = time.sleep, metered: bool = False) -> Callable[[str], str | tuple | None]:
+    """Answers a prompt, if ``metered`` with the tokens used; None once the attempts are used up, or at once for a
     request that the server rejects. Pauses grow evenly."""
 
     def ask(prompt: str) -> str | None:
         for n in range(1, endpoint.attempts + 1):
             try:
-                return content(send(endpoint, prompt))
+                answer = send(endpoint, prompt)
+                return (content(answer), *usage(answer)) if metered else content(answer)
             except urllib.error.HTTPError as error:
                 if error.code < 500 and error.code not in (408, 429):
                     return None

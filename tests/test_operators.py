@@ -54,11 +54,13 @@ def test_quantiles_are_exact_with_heavy_ties(spark):
 def test_chapters_and_profiles(spark):
     body = "很长的正文。" * 60
     text = "前言丢弃\n内容简介：\n这是简介。\n" + "\n".join(f"第{n}章 标题{n}\n{body}" for n in "一二三四五")
-    parts = profiles.chapters_of(text)
-    assert [c["title"] for c in parts] == [f"第{n}章 标题{n}" for n in "一二三四五"]
-    assert profiles.chapters_of("没有标题") == [{"index": 1, "title": "全文", "text": "没有标题"}]
-    assert profiles.blurb_of(text) == "这是简介。"
-    assert profiles.blurb_of("没有") == ""
+    rows_of = lambda text: spark.createDataFrame([(text,)], "t string")
+    split = lambda text: [tuple(c) for c in rows_of(text).select(profiles.chapters(F.col("t")).alias("c")).first()["c"]]
+    assert [c[1] for c in split(text)] == [f"第{n}章 标题{n}" for n in "一二三四五"]
+    assert {c[2] for c in split(text)} == {body} and [c[0] for c in split(text)] == [1, 2, 3, 4, 5]
+    assert split("没有标题") == [(1, "全文", "没有标题")] and split(None) == split(" \n") == []
+    blurb = lambda text: rows_of(text).select(profiles.blurb(F.col("t")).alias("b")).first()["b"]
+    assert blurb(text) == "这是简介。" and blurb("没有") == ""
     df = spark.createDataFrame([("n", "书名", None, text)], "novel_id string, title_guess string, author_guess string, text string")
     made = profiles.build_profiles(df).first()
     assert made["profile_text"].startswith("标题：书名\n长度") and "内容简介：\n这是简介。" in made["profile_text"]
@@ -66,19 +68,24 @@ def test_chapters_and_profiles(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9, 10, 11, 23, 100, 1234])
-def test_sampled_positions_agree(spark, n):
+def test_sampled_positions(spark, n):
     found = spark.range(1).select(profiles.sampled_positions(F.lit(n)).alias("p")).first()["p"]
-    assert found == profiles.sampled_chapters(n)
-    assert all(p < max(1, int(n * 0.95)) for p in found)
+    usable = max(1, int(n * 0.95)) if n else 0
+    assert found == sorted(set(found)) and all(p < usable for p in found)
+    assert len(found) == min(10, usable) and found[:4] == list(range(min(4, usable)))
+    if usable > 10:
+        assert found[-1] == usable - 1 and max(b - a for a, b in zip(found[4:], found[5:])) - min(b - a for a, b in zip(found[4:], found[5:])) <= 1
 
 
 def test_evidence_avoids_the_profile(spark):
-    parts = [{"index": i, "title": f"t{i}", "text": "x" * 300} for i in range(60)]
-    assert not set(profiles.evidence_chapters("k", parts)) & set(profiles.sampled_chapters(60))
-    assert set(profiles.evidence_windows()).isdisjoint(profiles.window_starts(10))
-    assert profiles.evidence_of("k", "") == ""
-    found = spark.createDataFrame([("k", "正文。" * 2000)], "k string, t string").select(profiles.evidence_with()("k", "t").alias("e")).first()["e"]
-    assert 0 < len(found) <= 6 * 710
+    df = spark.range(40).select(profiles.evidence_positions(F.col("id").cast("string"), F.lit(60)).alias("e"), profiles.sampled_positions(F.lit(60)).alias("s"))
+    for r in df.collect():
+        assert len(r["e"]) == 6 and not set(r["e"]) & set(r["s"])
+    few = spark.range(5).select(profiles.evidence_positions(F.lit("k"), F.col("id").cast("int")).alias("e")).collect()
+    assert [r["e"] for r in few][:3] == [[], [], []] and all(r["e"] for r in few[3:])
+    assert set(profiles.evidence_starts()).isdisjoint(profiles.window_starts(10)) and len(profiles.evidence_starts()) == 6
+    told = spark.createDataFrame([("k", "正文。" * 2000), ("l", ""), ("m", None)], "k string, t string").select(profiles.evidence_with()("k", "t").alias("e")).collect()
+    assert 0 < len(told[0]["e"]) <= 6 * 710 and told[1]["e"] == told[2]["e"] == ""
 
 
 def test_fractions_keep_their_distance(spark):
@@ -91,6 +98,21 @@ def test_fractions_keep_their_distance(spark):
         profiles.apart_fractions(F.lit("x"), 0)
 
 
+def test_search_refuses_ragged_vectors(spark):
+    corpus_df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0, 2.0, 3.0, 4.0, 5.0])], "vec_id long, embedding array<float>")
+    for query in ([1.0, 0.0, 0.0, 0.0], [1.0, 0.0]):
+        with pytest.raises(Exception, match="vectors of"):
+            retrieval.search(spark.createDataFrame([(7, query)], "query_id long, embedding array<float>"), corpus_df, 2).collect()
+    with pytest.raises(ValueError, match="differ in size"):
+        retrieval.search(spark.createDataFrame([(7, [1.0]), (8, [1.0, 2.0])], "query_id long, embedding array<float>"), corpus_df, 2)
+
+
+def test_length_stats_take_elements(spark):
+    for n in (1, 2, 3, 4, 19, 20, 40):
+        got = datasets.length_stats(spark.range(n).select((F.col("id") * 2).alias("x")), "x").first()
+        assert tuple(got) == (2 * (n // 2), 2 * int(0.95 * n), 2 * (n - 1))
+
+
 def test_search_small_vectors(spark):
     corpus_df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.8, 0.6]), (3, None)], "vec_id long, embedding array<float>")
     queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, embedding array<float>")

@@ -168,10 +168,30 @@ def test_judging(spark, queries):
     attached = judging.attach(results, judged)
     assert attached.count() == 10 and attached.where("judge_relevance_label = 2").count() == 4
     known = judged.where("novel_id = 'n2'").select("cache_key", F.lit(1).cast("long").alias("seq"), "response")
-    short = judging.judge(tasks, known, load, cap=each * 1.5, **cost)
-    assert rows(judging.summary(short)) == [("cached", 1), ("failed", 1), ("skipped", 1), ("unparsed", 1)]
+    again = judging.judge(tasks, known, load, cap=each * 3.5, **cost)
+    assert [(r["status"], r["pairs"]) for r in judging.summary(again).orderBy("status").collect()] == [("cached", 1), ("failed", 1), ("judged", 1), ("unparsed", 1)]
+    # The estimate for all that the cache lacks is asked for before any request.
+    for df, cache, cap in ((tasks, none, 3.5), (tasks, known, 2.5), (tasks, none, 0.5)):
+        with pytest.raises(judging.BudgetExceeded):
+            judging.judge(df, cache, load, cap=each * cap, **cost)
     with pytest.raises(judging.BudgetExceeded):
-        judging.judge(tasks, none, load, cap=each / 2, **cost)
+        judging.judge(tasks, none, load, cap=each * 10, spent=each * 7, **cost)
+
+
+def test_judging_by_reported_usage(spark, tmp_path):
+    tasks = spark.createDataFrame([("q", f"n{i}", f"prompt {i}") for i in range(40)], "query_id string, novel_id string, prompt string")
+    none = spark.createDataFrame([], "cache_key string, seq bigint, response string")
+
+    def load():
+        return lambda prompt: ('{"relevance_label": 1}' if "7" not in prompt else "nothing", 5_000, 300)
+
+    cost = {"price_in": 1.0, "price_out": 1.0, "cap": 0.12}
+    judged = judging.judge(tasks, none, load, waves=4, folder=f"file://{tmp_path}/waves", **cost)
+    found = {r["status"]: r for r in judging.summary(judged).collect()}
+    # Requests cost twice the estimate, unread answers too, so that the last waves find the cap reached.
+    asked = sum(found[s]["pairs"] for s in ("judged", "unparsed"))
+    assert found["skipped"]["pairs"] == 40 - asked > 0 and asked * 0.0053 >= 0.12 > (asked - 20) * 0.0053
+    assert sum(r["cost"] for r in found.values()) == pytest.approx(asked * 0.0053) and found["unparsed"]["prompt_tokens"] % 5_000 == 0
 
 
 def test_endpoint():
@@ -185,6 +205,7 @@ def test_endpoint():
         return {"choices": [{"message": {"content": "hello"}}], "usage": {"prompt_tokens": 3}}
 
     assert http.completer(point, send, pauses.append)("x") == "hello" and pauses == [1.0, 2.0]
+    assert http.completer(point, send, pauses.append, metered=True)("x") == ("hello", 3, 0)
 
     def refuse(*_):
         calls.append(1)
