@@ -23,26 +23,29 @@ WITH templates(template, name, kind, said) AS (VALUES {values}),
 files AS (SELECT doc_id, {document_path()} AS path, coalesce(text, '') AS text FROM documents),
 words AS (SELECT template, name, kind, term, count(*) AS tf FROM (
   SELECT template, name, kind, unnest(regexp_extract_all(lower(said), '\p{{L}}+|[0-9]+(?:\.[0-9]+)*')) AS term FROM templates) GROUP BY ALL),
-total AS (SELECT count(*) AS n FROM files),
+total AS (SELECT (SELECT count(*) FROM files) + (SELECT count(*) FROM templates) AS n),
 held AS (SELECT term, count(*) AS files FROM (
-  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+|[0-9]+(?:\.[0-9]+)*')) AS term FROM files) GROUP BY 1),
-idfs AS (SELECT term, ln((n + 1) / (coalesce(files, 0) + 1)) AS idf FROM (SELECT DISTINCT term FROM words) LEFT JOIN held USING (term), total),
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+|[0-9]+(?:\.[0-9]+)*')) AS term FROM files
+  UNION ALL SELECT DISTINCT -1 - template, term FROM words) GROUP BY 1),
+idfs AS (SELECT term, ln((n + 1)::DOUBLE / (files + 1)) AS idf FROM held, total),
 weights AS (SELECT template, name, kind, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM words JOIN idfs USING (term)),
 parts AS (
-  SELECT doc_id, i AS part, 'notice' AS kind, s[i] AS said FROM (
+  SELECT doc_id, i AS part, s[i] AS said FROM (
     SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
-      SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM files))
-  UNION ALL SELECT doc_id, -1, 'text', text FROM files WHERE doc_id % 20 = 0),
-terms AS (SELECT doc_id, part, kind, term, count(*) AS tf FROM (
-  SELECT doc_id, part, kind, unnest(regexp_extract_all(lower(said), '\p{{L}}+|[0-9]+(?:\.[0-9]+)*')) AS term FROM parts) GROUP BY ALL),
-weighed AS (SELECT doc_id, part, kind, term, tf * coalesce(idf, ln(n + 1)) AS w FROM terms LEFT JOIN idfs USING (term), total),
-norms AS (SELECT doc_id, part, kind, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+      SELECT doc_id, list_concat(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)),
+        list_filter(string_split_regex(text, '\n[^\p{{L}}\p{{N}}\n]*\n'), lambda x: contains(x, chr(10)))) AS s FROM files))
+  UNION ALL SELECT doc_id, -1, text FROM files WHERE doc_id % 20 = 0),
+terms AS (SELECT doc_id, part, term, count(*) AS tf FROM (
+  SELECT doc_id, part, unnest(regexp_extract_all(lower(said), '\p{{L}}+|[0-9]+(?:\.[0-9]+)*')) AS term FROM parts) GROUP BY ALL),
+weighed AS (SELECT doc_id, part, term, tf * idf AS w FROM terms JOIN idfs USING (term)),
+norms AS (SELECT doc_id, part, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 scores AS (
-  SELECT doc_id, template, name, sum(w * weight) / any_value(norm) AS score
-  FROM weighed JOIN weights USING (kind, term) JOIN norms USING (doc_id, part, kind) GROUP BY doc_id, part, kind, template, name),
+  SELECT doc_id, template, name, kind, sum(w * weight) / any_value(norm) AS score
+  FROM weighed JOIN weights USING (term) JOIN norms USING (doc_id, part)
+  WHERE (kind = 'text') = (part = -1) AND (kind <> 'title' OR doc_id % 20 = 0) GROUP BY doc_id, part, template, name, kind),
 own AS (
-  SELECT doc_id, name AS own_license, round(score, 6) AS own_score FROM scores WHERE score >= 0.6
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, template) = 1),
+  SELECT doc_id, name AS own_license, round(score, 6) AS own_score FROM scores WHERE round(score, 9) >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind <> 'notice' DESC, round(score, 9) DESC, template) = 1),
 named AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, own_score FROM files LEFT JOIN own USING (doc_id)),
 given AS (
   SELECT dir AS above, own_license AS given FROM named WHERE doc_id % 20 = 0 AND own_license IS NOT NULL
