@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import give_back
 from .workers import tidied
 
 TRIGRAMS = 2048
@@ -64,14 +65,18 @@ def metadata_view(text: str | None, source: str | None, lang: str | None) -> np.
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, *, steps: int = 150, rate: float = 0.1, ridge: float = 1e-4):
-    """Logistic regression by Adam on all rows; the last weight is the bias."""
-    w = np.zeros(x.shape[1] + 1, "f4") if w is None else w.copy()
+def _fit(parts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, *, steps: int = 150, rate: float = 0.1, ridge: float = 1e-4):
+    """Logistic regression by Adam on the rows of all ``parts``, which are
+    never put into one matrix; the last weight is the bias."""
+    w = np.zeros(parts[0].shape[1] + 1, "f4") if w is None else w.copy()
     first, second = np.zeros_like(w), np.zeros_like(w)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
-        error = (weight * (_sigmoid(x @ w[:-1] + w[-1]) - y)).astype("f4")
-        grad = np.append(error @ x + ridge * w[:-1], error.sum()).astype("f4")
+        z = np.concatenate([x @ w[:-1] for x in parts]) + w[-1]
+        error = (weight * (_sigmoid(z) - y)).astype("f4")
+        ends = np.cumsum([len(x) for x in parts])
+        down = sum(e @ x for e, x in zip(np.split(error, ends[:-1]), parts, strict=True))
+        grad = np.append(down + ridge * w[:-1], error.sum()).astype("f4")
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -123,6 +128,11 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], *, roun
     None if the labels lack a class.
     """
     held = np.arange(len(y)) % 5 == 4
+    # The rows that are kept go last, so that both parts are views. The list gets the matrices in that order, so that no other ones remain.
+    order = np.argsort(held, kind="stable")
+    for i in range(len(x)):
+        x[i] = x[i][order]
+    y, held, n = y[order], held[order], int((~held).sum())
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
         return None
     views: list[np.ndarray | None] = [None, None]
@@ -131,14 +141,13 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], *, roun
     for r in range(rounds + 1):
         for v in (0, 1):
             rows, labels = given[v]
-            features = np.concatenate([x[v][~held], pool[v][rows]])
             target = np.concatenate([y[~held], labels])
             # Labelled rows count double, and both classes alike.
             weight = np.concatenate([np.full((~held).sum(), 2.0), np.ones(len(rows))])
             for c in (0, 1):
                 weight[target == c] /= weight[target == c].sum()
-            views[v] = _fit(features, target, weight, views[v], steps=300 if r == 0 else 100)
-            z = x[v][held] @ views[v][:-1] + views[v][-1]
+            views[v] = _fit([x[v][:n], pool[v][rows]], target, weight, views[v], steps=300 if r == 0 else 100)
+            z = x[v][n:] @ views[v][:-1] + views[v][-1]
             scales[v] = tuple(_calibrated(z, y[held]))
         if r == rounds:
             break
@@ -153,7 +162,7 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], *, roun
                 labels.append(np.full(len(best), float(c)))
             given[1 - v] = (np.concatenate(picked), np.concatenate(labels))
     model = Model(views, scales, np.zeros(3))
-    both = np.stack([model.log_odds(v, x[v][held]) for v in (0, 1)])
+    both = np.stack([model.log_odds(v, x[v][n:]) for v in (0, 1)])
     model.mixed = _calibrated(both, y[held])
     return model
 
@@ -208,6 +217,7 @@ def train(
     on a tie; null labels and labels of unknown documents are not used. None
     if there are too few labels of either class.
     """
+    give_back(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *_context(docs))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
     known = known.agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
@@ -215,13 +225,19 @@ def train(
     rows = _features(texts.join(F.broadcast(chosen), "id")).collect()
     # No labelled document is in the pool, whether it is chosen or not.
     others = texts.select("id").where("id IS NOT NULL").join(known.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool)
-    loose = texts.join(F.broadcast(others.distinct()), "id").withColumn("label", F.lit(None).cast("double"))
-    free = _features(loose).collect()
+    unknown = texts.join(F.broadcast(others.distinct()), "id").withColumn("label", F.lit(None).cast("double"))
+    free = _features(unknown).collect()
     # Order by content too, so that rows that repeat an id come in one order.
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["content"]))
     free.sort(key=lambda r: (r["id"], r["content"]))
-    y = np.array([r["label"] for r in rows])
-    return co_train(_matrices(rows), y, _matrices(free), **options)
+    y, x = np.array([r["label"] for r in rows]), _matrices(rows)
+    del rows
+    loose = _matrices(free)
+    del free
+    model = co_train(x, y, loose, **options)
+    del x, loose
+    give_back(docs.sparkSession)
+    return model
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +55,13 @@ def drop_staged(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Returns memory that the driver no longer uses to the system, and lets
+    the engine delete the shuffle files and broadcasts of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim is not None:
+        trim(0)
