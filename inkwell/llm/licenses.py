@@ -16,6 +16,7 @@ weighed, which loses none.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -136,6 +137,16 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def _most(tokens: Column, vocabulary: Column, vectors: list[dict[str, float]], norms: list[float]) -> Column:
+    """The largest share of a template's squared weight that tokens have."""
+    shares = {t: [v.get(t, 0.0) ** 2 / n**2 if n else 0.0 for v, n in zip(vectors, norms, strict=True)] for t in sorted(set().union(*vectors))}
+    held = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")
+    none = F.array_repeat(F.lit(0.0), len(vectors))
+    # A term that all texts have weighs nothing and has no shares.
+    step = lambda sums, t: F.coalesce(F.zip_with(sums, F.try_element_at(held, t), lambda a, b: a + b), sums)
+    return F.array_max(F.aggregate(F.array_intersect(tokens, vocabulary), none, step))
+
+
 def scan(
     files: DataFrame,
     *,
@@ -191,12 +202,8 @@ def scan(
     whole = hopeful.where(licence_file).select("no_id", "id", "h", F.lit(True).alias("licence_file"), F.lit(-1).alias("part"), F.col("text").alias("said"))
     key = ["no_id", "id", "h", "licence_file", "part"]
     parts = split.unionByName(whole).select(*key, _tokens(F.col("said")).alias("tokens")).where(F.arrays_overlap("tokens", anchors))
-    parts = stage(parts, "statements")
     fits = ((F.col("kind") == "text") == (F.col("part") == -1)) & ((F.col("kind") != "title") | F.col("licence_file"))
-    reach = parts.select(*key, F.explode(F.array_intersect("tokens", vocabulary)).alias("term")).join(weights, "term").where(fits)
-    reach = reach.groupBy(*key, "template").agg(F.sum(F.col("weight") * F.col("weight")).alias("most")).where(F.col("most") >= threshold**2 - 1e-9)
-    same = [parts[c].eqNullSafe(reach[c]) for c in key]
-    near = parts.join(reach, same, "left_semi")
+    near = parts.where(_most(F.col("tokens"), vocabulary, vectors, norms) >= threshold**2 - 1e-9)
     # Rows that repeat an id, path and text double every count of theirs, which leaves the cosine as it is.
     terms = near.select(*key, F.explode("tokens").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(held, "term").join(F.broadcast(extra), "term", "left")
