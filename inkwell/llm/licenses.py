@@ -137,14 +137,14 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _most(tokens: Column, vocabulary: Column, vectors: list[dict[str, float]], norms: list[float]) -> Column:
-    """The largest share of a template's squared weight that tokens have."""
+def _shares(tokens: Column, vocabulary: Column, vectors: list[dict[str, float]], norms: list[float]) -> Column:
+    """For each template, the share of its squared weight that tokens have."""
     shares = {t: [v.get(t, 0.0) ** 2 / n**2 if n else 0.0 for v, n in zip(vectors, norms, strict=True)] for t in sorted(set().union(*vectors))}
     held = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")
     none = F.array_repeat(F.lit(0.0), len(vectors))
     # A term that all texts have weighs nothing and has no shares.
     step = lambda sums, t: F.coalesce(F.zip_with(sums, F.try_element_at(held, t), lambda a, b: a + b), sums)
-    return F.array_max(F.aggregate(F.array_intersect(tokens, vocabulary), none, step))
+    return F.aggregate(F.array_intersect(tokens, vocabulary), none, step)
 
 
 def scan(
@@ -203,7 +203,10 @@ def scan(
     key = ["no_id", "id", "h", "licence_file", "part"]
     parts = split.unionByName(whole).select(*key, _tokens(F.col("said")).alias("tokens")).where(F.arrays_overlap("tokens", anchors))
     fits = ((F.col("kind") == "text") == (F.col("part") == -1)) & ((F.col("kind") != "title") | F.col("licence_file"))
-    near = parts.where(_most(F.col("tokens"), vocabulary, vectors, norms) >= threshold**2 - 1e-9)
+    kinds = _strings([kind for _, kind, _ in templates])
+    open_to = lambda kind: ((kind == "text") == (F.col("part") == -1)) & ((kind != "title") | F.col("licence_file"))
+    shares = F.filter(_shares(F.col("tokens"), vocabulary, vectors, norms), lambda x, i: open_to(F.get(kinds, i)) & (x >= threshold**2 - 1e-9))
+    near = parts.where(F.size(shares) > 0)
     # Rows that repeat an id, path and text double every count of theirs, which leaves the cosine as it is.
     terms = near.select(*key, F.explode("tokens").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(held, "term").join(F.broadcast(extra), "term", "left")
