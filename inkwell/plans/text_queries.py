@@ -138,8 +138,14 @@ def _said(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-_SCORE = (F.col("doc_id") % 13 / 10).cast("string")
-_LEVEL = F.element_at(F.array(F.lit("High"), F.lit(" medium"), F.lit("sure"), F.lit("low")), (F.col("doc_id") % 4 + 1).cast("int"))
+def _score() -> Column:
+    return (F.col("doc_id") % 13 / 10).cast("string")
+
+
+def _level() -> Column:
+    return F.element_at(F.array(F.lit("High"), F.lit(" medium"), F.lit("sure"), F.lit("low")), (F.col("doc_id") % 4 + 1).cast("int"))
+
+
 _LEVEL_SQL = "['high', 'medium', 'low', 'low'][doc_id % 4 + 1]"
 
 
@@ -149,7 +155,7 @@ def _quoted(c: str) -> Column:
 
 def _answer() -> Column:
     return _said(
-        "<think>maybe {\"llm_match_score\": 9}</think>Here: {\"llm_match_score\": ", _SCORE, ", \"confidence\": \"", _LEVEL, "\", \"matched_preferences\": [\"", F.col("lang"),
+        "<think>maybe {\"llm_match_score\": 9}</think>Here: {\"llm_match_score\": ", _score(), ", \"confidence\": \"", _level(), "\", \"matched_preferences\": [\"", F.col("lang"),
         "\"], \"violated_preferences\": [\"", F.col("source"), "\", 7], \"risk_flags\": [], \"reason\": ", _quoted("line"), "}", F.when(F.col("doc_id") % 2 == 0, " and more {").otherwise(""),
     )
 
@@ -178,7 +184,7 @@ def loose_matches(t: Tables) -> DataFrame:
 def judge_answers(t: Tables) -> DataFrame:
     """Labels of a judge; null, never 0, where the answer has no object."""
     flag = F.when(F.col("doc_id") % 3 == 0, F.lit('"Yes"')).otherwise(F.lit("false"))
-    told = _said('thoughts</think>{"relevance_label": "', (F.col("doc_id") % 5).cast("string"), '.7", "constraint_violation": ', flag, ', "reason": "', F.col("source"), '", "judge_confidence": "', _LEVEL, '"}')
+    told = _said('thoughts</think>{"relevance_label": "', (F.col("doc_id") % 5).cast("string"), '.7", "constraint_violation": ', flag, ', "reason": "', F.col("source"), '", "judge_confidence": "', _level(), '"}')
     read = _docs(t).select("doc_id", answers.parse_judge(F.when(F.col("doc_id") % 5 == 0, F.lit("I cannot {say")).otherwise(told)).alias("v"))
     return read.select("doc_id", "v.label", "v.violation", "v.reason", "v.confidence")
 
