@@ -61,3 +61,20 @@ def test_hard_rows(hard, clashing, none):
     assert kept.columns == clashing.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["-5", "2", "5", "7", "8", "None"]
     assert shingles.drop_near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("light", [0, 256])
+def test_copies_of_copies_in_one_group(spark, sf, monkeypatch, light):
+    """Edits that are passed on, cuts and own edits about the centre, where
+    rounds of small blocks leave most links to the last comparison."""
+    monkeypatch.setattr(shingles, "BLOCK", 2)
+    monkeypatch.setattr(shingles, "LIGHT", light)
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 70)]
+    texts = [base]
+    for _ in range(240):
+        old = texts[rng.integers(len(texts))] if rng.random() < 0.6 else base
+        texts.append(edited(rng, old[: len(old) - int(rng.choice([0, 0, 1, 4]))], rng.choice([0.01, 0.02, 0.04])))
+    docs = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf).collect()) == slow_kept(docs)
