@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from compare import rows
 
@@ -54,6 +56,41 @@ def test_small_batches(spark, documents):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_windows_that_share_a_hash(spark, documents, width):
+    rng = random.Random(width)
+    data = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(9)
+    assert got(df, window=9, inner=3, width=width) == brute(df.collect(), 9)
+    assert got(documents, width=width) == brute(documents.collect(), 20)
+
+
+def test_passage_in_every_document(spark):
+    passage = " ".join(f"p{i}" for i in range(200))
+    data = [(i, f"x{i} {passage} y{i} {passage}") for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(50)
+    assert got(df) == brute(df.collect(), 20)
+
+
+@pytest.mark.parametrize("rows_held", [1, 50])
+def test_held_rows_are_thinned(monkeypatch, rows_held):
+    monkeypatch.setattr(substrings, "_HELD", rows_held)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(30)) for _ in range(80)]
+    blocks = [substrings._runs(np.array([i]), [t], 6, 2, 6) for i, t in enumerate(texts)]
+    table = pa.Table.from_batches(blocks).sort_by([("key", "ascending"), ("doc", "ascending"), ("start", "ascending")])
+    runs = list(substrings._proposed(iter(table.to_batches(max_chunksize=7)), 6))
+    gone = {(x["doc"], x["start"] + j) for b in runs for x in b.to_pylist() for j in range(x["length"])}
+    first, want = set(), set()
+    for d, t in enumerate(texts):
+        for i in range(25):
+            window = tuple(t.split()[i : i + 6])
+            if window in first:
+                want.add((d, i))
+            first.add(window)
+    assert gone == want
+
+
 def test_repeats_within_a_document_and_intervals(spark):
     text = " ".join(f"w{i}" for i in range(30)) + " gap " + " ".join(f"w{i}" for i in range(30))
     found = substrings.drop_repeats(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, gone string")).first()
