@@ -5,11 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Seconds between two collections of the driver's garbage.
+_WAIT = 0.5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,9 +62,15 @@ def drop_staged(df: DataFrame) -> None:
 
 def give_back(spark: SparkSession) -> None:
     """Returns memory that the driver no longer uses to the system, and lets
-    the engine delete the shuffle files and broadcasts of finished steps."""
+    the engine delete the shuffle files and broadcasts of finished steps.
+
+    What a finished step leaves behind lets go of its shuffles only some time
+    after it; a second collection finds those that the first one could not.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(_WAIT)
+    spark._jvm.System.gc()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
     if trim is not None:
         trim(0)
