@@ -36,7 +36,8 @@ _BLOCK = 1 << 21
 #: Stretches are cut at multiples of so many windows of what they repeat, so
 #: that the copies of a text send few different ones.
 _CELL = 64
-#: Rows of one minimizer that a task holds before it forgets repeated windows.
+#: Rows of one minimizer that a task holds before it forgets repeated windows;
+#: or twice the rows that were left the last time, if those are more.
 _HELD = 20_000
 _NULL = -(1 << 63)
 
@@ -143,6 +144,7 @@ def _proposed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     start. The lead is the first of its hash; it is null where a batch of
     documents has shown the repetition already."""
     held: list[pa.RecordBatch] = []
+    most = _HELD
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -155,18 +157,18 @@ def _proposed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield found
             if not goes_on and last:
                 yield _compared([batch.slice(0, last)], width)[0]
-            held = [batch.slice(last)]
+            held, most = [batch.slice(last)], _HELD
         elif held:
             held.append(batch)
         else:
             if last:
                 yield _compared([batch.slice(0, last)], width)[0]
             held = [batch.slice(last)]
-        if len(held) > 1 and sum(b.num_rows for b in held) > _HELD:
+        if len(held) > 1 and sum(b.num_rows for b in held) > most:
             # Rows come by document and start, so later ones can only repeat.
             found, leads = _compared(held, width)
             yield found
-            held = [leads]
+            held, most = [leads], max(_HELD, 2 * leads.num_rows)
     if held:
         yield _compared(held, width)[0]
 
