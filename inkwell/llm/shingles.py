@@ -1,11 +1,15 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
-
-MinHash bands propose pairs: two sets of similarity 0.8 share none of 32
-bands of five minima with a probability of 3 in a million, more similar ones
-more rarely. Every pair that shares a band is verified on the whole sets,
-unless other pairs have linked its two sets already.
-
-Sets that bands connect form a group. A group is cut into blocks, which are
+"""Near duplicates by SimHash, verified by the exact Jaccard similarity of
+word shingles.
+
+The sets' SimHashes propose pairs within a few differing bits, by the grid of
+``simhash``. Those bits are a similarity of about 0.95, and as many as 0.8
+needs leave no grid that selects. So MinHash bands propose pairs too: two
+sets of similarity 0.8 share none of 32 bands of five minima with a
+probability of 3 in a million, more similar ones more rarely. Every pair that
+either proposes is verified on the whole sets, unless other pairs have linked
+its two sets already.
+
+Sets that fingerprints or bands connect form a group. A group is cut into blocks, which are
 linked one by one. One set of each part that a block falls into, the most
 central one, is dealt into blocks again, each with the same few central sets
 of the group, so that the copies of one text come together in a time that
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import keep_one
+from .simhash import keep_one, links
 from .skew import with_totals
 from .staging import give_back, stage
 from .workers import slices, tidied
@@ -74,6 +78,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS).astype("u8") * _MIX).sum(axis=1, dtype="u8")
 
 
+def fingerprint_of(shingles: np.ndarray) -> int:
+    """The SimHash of a set, as a signed 64-bit number: a bit is set if it is
+    set in over half of the hashes; zero for none."""
+    counts = np.zeros(64, "i8")
+    for i in range(0, len(shingles), 1 << 16):
+        bits = np.unpackbits(shingles[i : i + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype="i8")
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def node_of(shingles: np.ndarray) -> int:
     """One number for equal sets, as a signed 64-bit hash; zero for none."""
     from xxhash import xxh64_intdigest
@@ -93,17 +107,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, text_key, node, bands) of every document; equal sets have one node."""
+    """(id, text_key, node, fp, bands) of every document; equal sets have one node."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             node = pa.array([node_of(s) for s in sets], pa.int64())
+            fp = pa.array([fingerprint_of(s) for s in sets], pa.int64())
             bands = pa.array([band_keys(s).view("i8") for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, bands], ["id", "text_key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, fp, bands], ["id", "text_key", "node", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidied(hashed), "id long, text_key long, node long, bands array<long>")
+    return rows.mapInArrow(tidied(hashed), "id long, text_key long, node long, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -263,14 +278,26 @@ def _left(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(tidied(verified), "u long, v long")
 
 
-def similar_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _alike(nodes: DataFrame, bits: int) -> DataFrame:
+    """Edges (u, v) that connect all nodes whose fingerprints differ in at
+    most ``bits`` bits."""
+    classes = stage(nodes.groupBy("fp").agg(F.min("node").alias("least")), "classes")
+    equal = with_totals(nodes.select("node", "fp"), ["fp"], [F.min("node").alias("least")], "node").where("node != least")
+    a, b = (classes.select(F.col("fp").alias(u), F.col("least").alias(x)) for u, x in (("u", "a"), ("v", "b")))
+    near = links(classes.select("fp"), classes.count(), bits).distinct().join(a, "u").join(b, "v")
+    return equal.select(F.col("node").alias("u"), F.col("least").alias("v")).unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def similar_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, width: int, percent: int, bits: int) -> DataFrame:
     """(node, root) of all nodes of ``found`` (the ``prints`` of ``docs``) that
-    links reach: those that share a band and are at least ``percent`` % similar."""
-    nodes = found.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.first("bands").alias("bands"))
+    links reach: those that fingerprints or a band bring together and that are
+    at least ``percent`` % similar."""
+    nodes = found.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = stage(nodes, "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = with_totals(keyed, ["band", "key"], [F.min("node").alias("least"), F.count(F.lit(1)).alias("n")], "node").where("n > 1")
-    groups = components(shared.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    met = shared.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    groups = components(met.unionByName(_alike(nodes, bits)))
     wanted = nodes.join(groups.withColumnRenamed("root", "group"), "node").select("node", "group", F.col("at.id").alias("__id"), F.col("at.text_key").alias("__text"))
     match = [docs[id_col].cast("long").eqNullSafe(wanted["__id"]), F.xxhash64(docs[text_col]) == wanted["__text"]]
     texts = docs.join(wanted, match).select(wanted["node"], wanted["group"], docs[text_col].cast("string").alias("text"))
@@ -291,18 +318,19 @@ def similar_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, bits: int = 4
 ) -> DataFrame:
     """One row of ``docs`` for each component of similar documents.
 
     Documents link if the Jaccard similarity of their sets of ``width``-word
     shingles is at least ``percent`` %; texts without words (or null) are all
-    alike. Of a component the row with the least id stays, a null id last,
+    alike. SimHashes of these sets within ``bits`` differing bits and MinHash
+    bands propose the pairs. Of a component the row with the least id stays, a null id last,
     then that with the least hash of its text. Shingles are compared as
     64-bit hashes.
     """
     give_back(docs.sparkSession)
     found = stage(prints(docs, id_col, text_col, width), "prints")
-    whole = similar_sets(docs, found, id_col, text_col, width, percent)
+    whole = similar_sets(docs, found, id_col, text_col, width, percent, bits)
     labelled = found.join(whole, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("component"))
     return keep_one(docs, labelled, id_col, text_col)

@@ -78,3 +78,28 @@ def test_copies_of_copies_in_one_group(spark, sf, monkeypatch, light):
     docs = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf).collect()) == slow_kept(docs)
+
+
+@pytest.mark.parametrize("fingerprint", [None, 5])
+def test_simhash_proposes_and_shingles_verify(spark, sf, monkeypatch, fingerprint):
+    """No two sets share a band here: fingerprints alone bring copies together,
+    and where they are all alike, only the similar sets are dropped."""
+    monkeypatch.setattr(shingles, "band_keys", lambda s: np.full(shingles.BANDS, shingles.node_of(s), "i8").view("u8"))
+    if fingerprint is not None:
+        monkeypatch.setattr(shingles, "fingerprint_of", lambda s: fingerprint)
+    rng = np.random.default_rng(9)
+    docs = []
+    for _ in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 1000)]
+        docs += [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(0, 1000, 250)] + [" ".join(edited(rng, base, 0.06))]
+    docs = [(int(i), t) for i, t in zip(rng.permutation(len(docs)), docs, strict=True)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = slow_kept(docs)
+    assert len(want) == 8
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf).collect()) == want
+
+
+def test_fingerprint_of_a_set():
+    held = np.array([1, 3, 5, 1 << 63], "u8")
+    assert shingles.fingerprint_of(held) == 1 and shingles.fingerprint_of(held[:0]) == 0
+    assert shingles.fingerprint_of(held[3:]) == -(1 << 63)
