@@ -2,8 +2,9 @@
 
 An image is described at its strongest corners on a pyramid of scales. Each
 corner's patch is turned to its intensity centroid and described by 256
-comparisons of smoothed pixels. Descriptors meet in eight tables by 32 of
-their bits each, which finds all pairs within seven differing bits and, of
+comparisons of smoothed pixels. Both sides are dealt into parts, and each part
+of one meets each part of the other in one task, so that only links leave it.
+There descriptors meet in eight tables by 32 of their bits each, which finds all pairs within seven differing bits and, of
 those that differ in d bits, about 1 - (1 - (7/8)**d)**8; pairs are verified on all bits, and
 images match if enough of their pairs agree on one rotation, scale and shift.
 The number of corners is a limit on recall: it grows with an image's area,
@@ -15,6 +16,7 @@ Equal images are one class: they are described once and compared once.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,12 +32,17 @@ from .workers import tidied
 SCALES = (1.0, 0.75, 0.5)
 #: Corners of each scale for every 96 x 96 pixels.
 CORNERS, TILE = (16, 10, 6), 96 * 96
-#: Tables in which descriptors meet, and the parts of a key's rows.
-TABLES, SALTS = 8, 8
+#: Tables in which descriptors meet.
+TABLES = 8
+#: Bytes of descriptors in a part, the least number of parts of the media, and
+#: the descriptors with a common key that a task holds at once.
+BLOCK, PARTS, MET = 1 << 23, 24, 1 << 20
 TURNS = 24
 _RADIUS, _BORDER, _STEP = 9, 13, 3.0
 #: Pixels that an image may have; what claims more is not decoded.
 PIXELS = 1 << 24
+#: A described corner.
+KIND = np.dtype([("x", "f4"), ("y", "f4"), ("level", "i1"), ("turn", "i1"), ("bits", "u1", 32)])
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -161,9 +168,8 @@ def _pattern() -> tuple[np.ndarray, np.ndarray]:
 def describe(image: np.ndarray | None) -> np.ndarray:
     """The descriptors of an image's corners: rows of x, y, scale level, turn
     and 32 bytes. Images without room for a patch have none."""
-    kind = np.dtype([("x", "f4"), ("y", "f4"), ("level", "i1"), ("turn", "i1"), ("bits", "u1", 32)])
     if image is None:
-        return np.zeros(0, kind)
+        return np.zeros(0, KIND)
     pattern, disk = _pattern()
     found = []
     for level, (scale, most) in enumerate(zip(SCALES, CORNERS, strict=True)):
@@ -191,11 +197,11 @@ def describe(image: np.ndarray | None) -> np.ndarray:
         at = pattern[turn]  # corners x comparisons x 2 points x (x, y)
         blurred = _box(layer, 2)
         values = blurred[ys[:, None, None] + at[..., 1], xs[:, None, None] + at[..., 0]]
-        rows = np.zeros(len(ys), kind)
+        rows = np.zeros(len(ys), KIND)
         rows["x"], rows["y"], rows["level"], rows["turn"] = xs / scale, ys / scale, level, turn
         rows["bits"] = np.packbits(values[..., 0] + _STEP < values[..., 1], axis=1, bitorder="little")
         found.append(rows)
-    return np.concatenate(found) if found else np.zeros(0, kind)
+    return np.concatenate(found) if found else np.zeros(0, KIND)
 
 
 def described(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -224,31 +230,95 @@ def _digest(item: bytes | None) -> bytes:
     return hashlib.sha256(item or b"").digest()
 
 
-def _points(classes: DataFrame) -> DataFrame:
-    """(class, n, x, y, size, turn, w0..w3, table, key): the descriptors of
-    each class, once for each table."""
-    record = 42
+def _parts(classes: DataFrame, least: int) -> int:
+    """So many parts hold about ``BLOCK`` bytes of descriptors each."""
+    held = classes.agg(F.sum(F.length("points"))).first()[0] or 0
+    return max(least, -(-held // BLOCK))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("x", "f4"), ("y", "f4"), ("level", "i1"), ("turn", "i1"), ("bits", "u1", 32)])
-        for batch in batches:
-            sizes = np.array([len(p) // record for p in batch.column(1).to_pylist()], "i8")
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            nth = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            bits = np.ascontiguousarray(rows["bits"])
-            words = bits.view("<i8")
-            scale = np.array(SCALES)[rows["level"]] if len(rows) else np.zeros(0)
-            columns = [owner, nth, rows["x"].astype("f8"), rows["y"].astype("f8"), 1 / scale, rows["turn"].astype("i8"), *(words[:, k] for k in range(4))]
-            keys = bits.view("<i4").astype("i8")
-            for table in range(TABLES):
-                arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
-                more = [pa.array(np.full(len(rows), table, "i8")), pa.array(np.ascontiguousarray(keys[:, table]))]
-                yield pa.RecordBatch.from_arrays([*arrays, *more], names)
-
-    names = ["class", "n", "x", "y", "size", "turn", "w0", "w1", "w2", "w3", "table", "key"]
-    kinds = ["long"] * 2 + ["double"] * 3 + ["long"] * 7
-    return classes.select("class", "points").mapInArrow(tidied(split), ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
+
+def _dealt(classes: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """The classes in parts (``own``), once for each part of the other side."""
+    rows = classes.select(F.pmod(F.xxhash64("class"), F.lit(parts)).alias(own), "class", "points")
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
+def _read(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The descriptors of a part's classes in order, their classes, and their
+    number within the class."""
+    classes, points = part.column("class").to_numpy(), part.column("points").to_pylist()
+    order = np.argsort(classes)
+    sizes = np.array([len(points[k]) // KIND.itemsize for k in order], "i8")
+    rows = np.frombuffer(b"".join(points[k] for k in order), KIND)
+    return rows, np.repeat(classes[order], sizes), np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, pair: np.ndarray, i: np.ndarray, j: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, agreeing): the most descriptors that agree on one placement.
+
+    ``a[k]`` and ``b[k]`` have met; ``i`` and ``j`` tell them apart within
+    their images. The query is turned, scaled, then shifted.
+    """
+    turn = (b["turn"].astype("i8") - a["turn"]) % TURNS
+    angle, sizes = turn * (2 * np.pi / TURNS), 1 / np.array(SCALES)
+    ratio = sizes[b["level"]] / sizes[a["level"]]
+    left = b["x"] - ratio * (np.cos(angle) * a["x"] - np.sin(angle) * a["y"])
+    top = b["y"] - ratio * (np.sin(angle) * a["x"] + np.cos(angle) * a["y"])
+    scale = np.rint(ratio * 1000).astype("i8")
+    best_pair = np.unique(pair)
+    best = np.zeros(len(best_pair), "i8")
+    # Each vote counts in cells that overlap by half, for its own turn and the next one.
+    for dx, dy, dt in itertools.product((0.0, 0.5), (0.0, 0.5), (0, 1)):
+        spot = np.stack([pair, (turn + dt) % TURNS, scale, np.floor(left / cell + dx).astype("i8"), np.floor(top / cell + dy).astype("i8")], 1)
+        spots, at = np.unique(spot, axis=0, return_inverse=True)
+        at = at.ravel()
+        n = [np.bincount(np.unique(np.stack([at, k], 1), axis=0)[:, 0], minlength=len(spots)) for k in (i, j)]
+        np.maximum.at(best, np.searchsorted(best_pair, spots[:, 0]), np.minimum(*n))
+    return best_pair, best
+
+
+def _matched(queries: pa.Table, media: pa.Table, differing: int, cell: float, agreeing: int) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of two parts.
+
+    Query classes are taken some at a time, so that no more than about
+    ``MET`` descriptors that share a key are held at once, unless one class
+    alone has more.
+    """
+    a, a_class, i_of = _read(queries)
+    b, b_class, j_of = _read(media)
+    words = [np.ascontiguousarray(x["bits"]).view("<u8") for x in (a, b)]
+    keys = [np.ascontiguousarray(x["bits"]).view("<u4") for x in (a, b)]
+    orders = [np.argsort(keys[1][:, t], kind="stable") for t in range(TABLES)]
+    sorted_keys = [keys[1][o, t] for t, o in enumerate(orders)]
+    low = np.stack([np.searchsorted(k, keys[0][:, t], "left") for t, k in enumerate(sorted_keys)])
+    met = np.stack([np.searchsorted(k, keys[0][:, t], "right") for t, k in enumerate(sorted_keys)]) - low
+    starts = np.flatnonzero(np.append(True, a_class[1:] != a_class[:-1])) if len(a) else np.zeros(0, "i8")
+    ends, sums = np.append(starts[1:], len(a)), np.append(0, np.cumsum(met.sum(axis=0)))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(sums[ends], sums[starts[first]] + MET, "right")))
+        lo, hi = int(starts[first]), int(ends[last - 1])
+        first, found = last, [np.zeros(0, "i8")]
+        for t in range(TABLES):
+            n, upto = met[t, lo:hi], np.append(0, np.cumsum(met[t, lo:hi]))
+            for at in range(0, int(upto[-1]), MET):
+                nth = np.arange(at, min(at + MET, int(upto[-1])))
+                row = np.searchsorted(upto, nth, "right") - 1
+                i = row + lo
+                j = orders[t][low[t, i] + nth - upto[row]]
+                near = np.bitwise_count(words[0][i] ^ words[1][j]).sum(axis=1) <= differing
+                found.append(np.unique(i[near] * len(b) + j[near]))
+        i, j = np.divmod(np.unique(np.concatenate(found)), max(1, len(b)))
+        # Images that share fewer descriptors on either side cannot agree on so many.
+        pairs, pair = np.unique(np.stack([a_class[i], b_class[j]], 1), axis=0, return_inverse=True)
+        pair = pair.ravel()
+        enough = np.minimum(*[np.bincount(np.unique(np.stack([pair, k], 1), axis=0)[:, 0], minlength=len(pairs)) for k in (i, j)]) >= agreeing
+        held = enough[pair]
+        i, j, pair = i[held], j[held], pair[held]
+        if not len(i):
+            continue
+        who, votes = _agreeing(a[i], b[j], pair, i_of[i], j_of[j], cell)
+        who, votes = who[votes >= agreeing], votes[votes >= agreeing]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[who, 0]), pa.array(pairs[who, 1]), pa.array(votes)], ["id", "class_id", "agreeing"])
 
 
 def find_copies(
@@ -278,31 +348,17 @@ def find_copies(
     for side, df in (("query", queries), ("media", media)):
         rows = stage(described(df, id_col, media_col), f"{side}-points")
         groups = rows.groupBy("digest").agg(F.min(F.struct("id", "points")).alias("first"), F.min("id").alias("class"))
-        sides[side] = rows, groups.select("digest", "class", "first.points")
-    q = _points(sides["query"][1].where("class IS NOT NULL"))
-    m = _points(sides["media"][1].where("class IS NOT NULL"))
-    for c in ("class", "n", "x", "y", "size", "turn", "w0", "w1", "w2", "w3"):
-        q, m = q.withColumnRenamed(c, f"q_{c}"), m.withColumnRenamed(c, f"m_{c}")
-    apart = sum(F.bit_count(F.col(f"q_w{k}").bitwiseXOR(F.col(f"m_w{k}"))) for k in range(4))
-    # A key that very many images share is met in parts.
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    m = m.withColumn("salt", F.pmod(F.xxhash64("m_class"), F.lit(SALTS)).cast("int"))
-    pairs = q.join(m, ["table", "key", "salt"]).where(apart <= differing)
-    # Placement of the query in the media image: turned, scaled, then shifted.
-    turn = F.pmod(F.col("m_turn") - F.col("q_turn"), F.lit(TURNS))
-    angle = turn * (2 * np.pi / TURNS)
-    ratio = F.col("m_size") / F.col("q_size")
-    left = F.col("m_x") - ratio * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))
-    top = F.col("m_y") - ratio * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))
-    # Each vote counts in cells that overlap by half, for its own turn and the next one.
-    shifts = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dt")) for a in (0.0, 0.5) for b in (0.0, 0.5) for c in (0, 1)])
-    placed = pairs.select("q_class", "m_class", "q_n", "m_n", turn.alias("turn"), F.round(ratio, 3).alias("ratio"), left.alias("left"), top.alias("top"), F.explode(shifts).alias("s"))
-    cells = placed.groupBy(
-        "q_class", "m_class", F.pmod(F.col("turn") + F.col("s.dt"), F.lit(TURNS)).alias("turn"), "ratio", "s",
-        F.floor(F.col("left") / cell + F.col("s.dx")).alias("column"), F.floor(F.col("top") / cell + F.col("s.dy")).alias("row"),
-    ).agg(F.least(F.count_distinct("q_n"), F.count_distinct("m_n")).alias("agreeing"))
-    links = cells.where(F.col("agreeing") >= agreeing).groupBy("q_class", "m_class").agg(F.max("agreeing").alias("agreeing"))
-    out = links.select(F.lit("link").alias("kind"), F.col("q_class").alias("id"), F.col("m_class").alias("class_id"), "agreeing")
+        sides[side] = rows, stage(groups.select("digest", "class", "first.points"), f"{side}-classes")
+    q, m = (sides[side][1].where("class IS NOT NULL AND length(points) > 0") for side in ("query", "media"))
+    asked, held = _parts(q, 1), _parts(m, PARTS)
+    q, m = _dealt(q, "q", asked, "m", held), _dealt(m, "m", held, "q", asked)
+
+    def matched(a: pa.Table, b: pa.Table) -> pa.Table:
+        kind = pa.schema([("id", pa.int64()), ("class_id", pa.int64()), ("agreeing", pa.int64())])
+        return pa.Table.from_batches(_matched(a, b, differing, cell, agreeing), kind) if len(a) and len(b) else kind.empty_table()
+
+    links = q.groupBy("q", "m").cogroup(m.groupBy("q", "m")).applyInArrow(matched, "id long, class_id long, agreeing long")
+    out = links.select(F.lit("link").alias("kind"), "id", "class_id", "agreeing")
     for side in ("query", "media"):
         rows, groups = sides[side]
         member = rows.select("id", "digest").join(groups.select("digest", "class"), "digest")

@@ -106,3 +106,26 @@ def test_hard_rows(spark):
     assert classes["media", 2] == classes["media", None] == 1 and classes["query", 4] == classes["query", 5] == 3
     assert {(r["id"], r["class_id"]) for r in out if r["kind"] == "link"} == {(1, 1)}
     assert media.find_copies(df.where("media_id > 99"), df.where("media_id > 99")).count() == 0
+
+
+def test_common_corners_make_few_rows(spark):
+    """Images that share a corner with all others but no placement: what the
+    join writes grows with the images, not with the pairs of their corners."""
+    base = media.describe(media.decode(pictures.pgm(pictures.drawn(np.arange(8.0)))))
+    mixed = [(k, np.concatenate([media.describe(pictures.drawn(np.arange(8.0) + k)), base[k % 3 : k % 3 + 3]]).tobytes()) for k in range(1, 41)]
+    table = media.pa.table({"class": [k for k, _ in mixed], "points": [p for _, p in mixed]})
+    links = media.pa.Table.from_batches(media._matched(table, table, 32, 12.0, 4)).to_pylist()
+    assert {(r["id"], r["class_id"]) for r in links} == {(k, k) for k in range(1, 41)}
+    df = vectors(spark, 80)
+    found = media.find_copies(pictures.images(df, edit=True), pictures.images(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin [table" not in plan
+
+
+def test_small_slices_give_the_same_links(monkeypatch):
+    points = {k: media.describe(pictures.drawn(np.arange(8.0) + k)) for k in range(6)}
+    table = media.pa.table({"class": list(points), "points": [p.tobytes() for p in points.values()]})
+    whole = media.pa.Table.from_batches(media._matched(table, table, 60, 12.0, 1)).to_pylist()
+    monkeypatch.setattr(media, "MET", 7)
+    assert sorted(map(str, media.pa.Table.from_batches(media._matched(table, table, 60, 12.0, 1)).to_pylist())) == sorted(map(str, whole))
+    assert len(whole) > 6
