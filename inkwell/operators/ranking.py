@@ -80,7 +80,8 @@ def fuse(
     ``candidates`` has best_score, matched, and match_score, confidence,
     violated and flags, null where nothing was scored. Under ``impute`` an
     unscored one counts as the average of the scored, under ``legacy`` it has
-    a formula of its own. Ties go by retrieval_rank.
+    a formula of its own. Ranks go by scores of nine places, so that equal
+    scores tie however their sums were rounded; ties go by retrieval_rank.
     """
     if policy not in ("impute", "legacy"):
         raise ValueError("policy is impute or legacy")
@@ -100,7 +101,7 @@ def fuse(
     rows = rows.withColumn("final_score", final)
     for name in ("imputed_match", "imputed_confidence"):
         rows = rows.withColumn(name, F.when(~scored & F.lit(policy == "impute"), F.col(name)))
-    return rows.withColumn("final_rank", F.row_number().over(every.orderBy(F.desc("final_score"), "retrieval_rank")))
+    return rows.withColumn("final_rank", F.row_number().over(every.orderBy(F.round("final_score", 9).desc(), "retrieval_rank")))
 
 
 def contributions(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
