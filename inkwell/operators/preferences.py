@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,31 +73,48 @@ def overlapping(rows: DataFrame, reserved: DataFrame, tokens: str, *, key: str,
     ``reserved`` has ``ref`` and the same tokens column. Sets of fewer than
     ``least`` tokens match nothing.
 
-    Pairs meet on few tokens: of the smaller set of a pair, ``threshold`` of
-    the tokens are shared, so one of its others-plus-one rarest tokens is.
-    Only those are looked up in the other side, and the sets are compared
-    where they meet.
+    Ids and single tokens travel, never a whole set beside each of its
+    tokens. Below a threshold of a half a pair may meet on most tokens, so the
+    tokens that pairs share are counted. From there on pairs meet on few: of
+    the smaller set of a pair, ``threshold`` of the tokens are shared, so one
+    of its others-plus-one rarest tokens is. Only those are looked up in the
+    other side, and the sets are compared where they meet.
     """
-    a = rows.select(F.col(key).alias("k"), F.col(tokens).alias("a"), F.size(tokens).alias("n")).where(F.col("n") >= max(least, 1))
-    b = reserved.select(F.col("ref").alias("r"), F.col(tokens).alias("b"), F.size(tokens).alias("m")).where(F.col("m") >= max(least, 1))
-
-    def rarest(side: DataFrame, words: str, size: str, other: DataFrame, others: str) -> DataFrame:
-        """The side with its rarest tokens in the other, as ``token``."""
-        held = other.select(F.explode(others).alias("token")).groupBy("token").count()
-        # A token that the other side lacks meets nothing, but takes a place among the rarest.
-        met = side.select("*", F.explode(words).alias("token")).join(held, "token", "left")
-        by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), "token")))
-        ids = [c for c in side.columns if c not in (words, size)]
-        ranked = met.groupBy(*ids, words, size).agg(by_rarity.alias("by"))
-        enough = F.col(size) - F.ceil(F.col(size) * threshold - 1e-9).cast("int") + 1
-        return ranked.select(*side.columns, F.explode(F.slice("by", 1, enough)).alias("at")).where("at.f > 0").select(*side.columns, "at.token")
-
-    every_a, every_b = a.select("*", F.explode("a").alias("token")), b.select("*", F.explode("b").alias("token"))
-    small_a = rarest(a, "a", "n", b, "b").join(every_b, "token").where("n <= m")
-    small_b = rarest(b, "b", "m", a, "a").join(every_a, "token").where("m < n")
-    pairs = small_a.select("k", "a", "b", "n", "m").unionByName(small_b.select("k", "a", "b", "n", "m"))
-    close = F.size(F.array_intersect("a", "b")) / F.least("n", "m") >= threshold
-    return pairs.where(close).select(F.col("k").alias(key)).distinct()
+    a, b = _numbered(rows, key, tokens, ("k", "i", "a", "n"), least), _numbered(reserved, "ref", tokens, ("r", "j", "b", "m"), least)
+    every_a, every_b = (side.select(*ids, F.explode(F.array_distinct(words)).alias("token")) for side, ids, words in ((a, _A, "a"), (b, _B, "b")))
+    if threshold < 0.5:
+        shared = every_a.join(every_b, "token").groupBy(*_A, *_B).count()
+        close = shared.where(F.col("count") / F.least("n", "m") >= threshold)
+    else:
+
+        def rarest(side: DataFrame, ids: tuple[str, ...], other: DataFrame) -> DataFrame:
+            """The side's ids with its rarest tokens in the other, as ``token``."""
+            held = other.groupBy("token").count()
+            # A token that the other side lacks meets nothing, but takes a place among the rarest.
+            by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), "token")))
+            ranked = side.join(held, "token", "left").groupBy(*ids).agg(by_rarity.alias("by"))
+            size = F.col(ids[-1])
+            enough = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
+            return ranked.select(*ids, F.explode(F.slice("by", 1, enough)).alias("at")).where("at.f > 0").select(*ids, "at.token")
+
+        small_a = rarest(every_a, _A, every_b).join(every_b, "token").where("n <= m")
+        small_b = rarest(every_b, _B, every_a).join(every_a, "token").where("m < n")
+        pairs = small_a.select(*_A, *_B).unionByName(small_b.select(*_A, *_B)).distinct()
+        one, two = F.struct("k", "i").alias("x"), F.struct("r", "j").alias("y")
+        met = pairs.select("k", "n", "m", one, two).join(a.select(one, "a"), "x").join(b.select(two, "b"), "y")
+        close = met.where(F.size(F.array_intersect("a", "b")) / F.least("n", "m") >= threshold)
+    return close.select(F.col("k").alias(key)).distinct()
+
+
+_A, _B = ("k", "i", "n"), ("r", "j", "m")
+
+
+def _numbered(side: DataFrame, key: str, tokens: str, names: tuple[str, str, str, str], least: int) -> DataFrame:
+    """Key, number, tokens and size of each set under these names; the number
+    tells sets of one key apart."""
+    k, i, words, size = names
+    sets = side.select(F.col(key).alias(k), F.col(tokens).alias(words), F.size(tokens).alias(size)).where(F.col(size) >= max(least, 1))
+    return sets.withColumn(i, F.row_number().over(W.partitionBy(k).orderBy(words)))
 
 
 def leaking(queries: DataFrame, reserved: DataFrame, *, key: str = "query_id", threshold: float = 0.8) -> DataFrame:
