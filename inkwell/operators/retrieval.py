@@ -80,15 +80,18 @@ def _blocks(vectors: DataFrame, block: int) -> Iterator[list]:
         yield held
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int, held: int = 1 << 21):
+def _best(ids: np.ndarray, matrix: np.ndarray, k: int, held: int = 1 << 18):
     """The ``k`` best rows of a task for each query. Rows are scored in slices
-    of about ``held`` scores, so that a task's memory does not grow with a
-    batch or with the number of queries."""
+    of about ``held`` scores. Those that reach a query's k-th best are kept,
+    and put in order once there are ``held``, so that a task's memory grows
+    neither with a batch nor with the rows, and with the queries by ``k``
+    scores each."""
     step = max(1, held // max(len(ids), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = np.zeros((len(ids), 0), "i8")
-        best = np.zeros((len(ids), 0))
+        # Query, score and key of the best, and of what may be; a query's ``least`` is its k-th best.
+        found, more = [(np.zeros(0, "i8"), np.zeros(0), np.zeros(0, "i8"))], 0
+        least = np.full(len(ids), -np.inf)
         for part in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             column = part.column(1)
             sizes = np.diff(column.offsets.to_numpy())
@@ -97,17 +100,31 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int, held: int = 1 << 21):
             rows = np.asarray(column.flatten(), "f8").reshape(part.num_rows, -1)
             if not np.isfinite(rows).all():
                 raise ValueError("vectors must be finite")
+            scores = matrix @ rows.T
             # Rounded, so that equal vectors tie wherever they stand in a block.
-            scores = np.concatenate([best, np.round(matrix @ rows.T, 9)], axis=1)
-            keys = np.concatenate([best_id, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], axis=1)
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
-        n = best.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], ["q", "id", "score"])
+            q, r = np.nonzero(np.round(scores, 9, out=scores) >= least[:, None])
+            found.append((q, scores[q, r], part.column(0).to_numpy()[r]))
+            more += len(q)
+            if more >= held:
+                found, more = [_cut(found, k, least)], 0
+        q, score, key = _cut(found, k, least)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(key), pa.array(score)], ["q", "id", "score"])
 
     return run
 
 
+def _cut(found: list[tuple[np.ndarray, ...]], k: int, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``k`` best of each query, in order; sets ``least`` to the last of them."""
+    q, score, key = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((key, -score, q))
+    q = q[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    last = place == k - 1
+    least[q[last]] = score[order[last]]
+    kept = order[place < k]
+    return q[place < k], score[kept], key[kept]
+
+
 def hint_query(positive: Sequence[str], negative: Sequence[str], hints=HINTS) -> str | None:
     """All hints of a preference's terms as one query, or None."""
     words = [w for term in [*positive, *(f"不{t}" for t in negative)] for w in hints.get(term, ())]
